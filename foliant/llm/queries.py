@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam
+from . import decontam, minhash
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination,)}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
-ORACLE = {"op1_decontamination": decontam.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op8_minhash)}
+
+ORACLE = {"op1_decontamination": decontam.SQL, "op8_minhash": minhash.SQL}
