@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash
+from . import decontam, lattice, minhash, mixing, warc
 from .common import read_table
 
 
@@ -12,10 +12,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents"))
+
+
+def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op8_minhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_mixing, op7_lattice, op8_minhash)}
 
-ORACLE = {"op1_decontamination": decontam.SQL, "op8_minhash": minhash.SQL}
+ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op8_minhash": minhash.SQL}
