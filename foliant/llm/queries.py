@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lattice, minhash, mixing, warc
+from . import decontam, langid, lattice, minhash, mixing, warc
 from .common import read_table
 
 
@@ -12,6 +12,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read_table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
@@ -28,6 +32,6 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_warc, op4_mixing, op7_lattice, op8_minhash)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op7_lattice, op8_minhash)}
 
 ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op8_minhash": minhash.SQL}
