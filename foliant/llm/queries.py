@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lattice, minhash, mixing, warc
+from . import decontam, langid, lattice, minhash, mixing, toxicity, urlfilter, warc
 from .common import read_table
 
 
@@ -32,6 +32,14 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op7_lattice, op8_minhash)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op7_lattice, op8_minhash, op9_toxicity, op10_urls)}
 
 ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op8_minhash": minhash.SQL}
