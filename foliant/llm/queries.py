@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lattice, minhash, mixing, pii, toxicity, urlfilter, warc
+from . import decontam, langid, lattice, minhash, mixing, pii, suffix_dedup, toxicity, urlfilter, warc
 from .common import read_table
 
 
@@ -28,6 +28,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op7_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,6 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op5_pii, op7_lattice, op8_minhash, op9_toxicity, op10_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op5_pii, op6_suffix_array, op7_lattice, op8_minhash, op9_toxicity, op10_urls)}
 
 ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op8_minhash": minhash.SQL}
