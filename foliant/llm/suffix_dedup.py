@@ -107,14 +107,18 @@ def cover_ranks(t: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     wide = n + 6
     near = lambda i: s[i] * wide + rank[i + 1]
     far = lambda i: (s[i] * base + s[i + 1]) * wide + rank[i + 2]
-    zn, zf, on, tf = near(zero), far(zero), near(one), far(two)
-    szn, szf, son, stf = np.sort(zn), np.sort(zf), np.sort(on), np.sort(tf)
-    rest = np.sort(rank[np.concatenate([one, two])])
+    # queries in ascending order keep the binary searches near each other
+    zn, zf, on, tf, r12 = near(zero), far(zero), near(one), far(two), rank[np.concatenate([one, two])]
+    ozn, ozf, oon, otf = (np.argsort(x) for x in (zn, zf, on, tf))
+    szn, szf, son, stf, rest = zn[ozn], zf[ozf], on[oon], tf[otf], np.sort(r12)
     less = lambda a, x: np.searchsorted(a, x, "left")
+    n0, n1, n2 = (np.zeros(len(x), np.int64) for x in (zero, one, two))
+    n0[ozn] = less(szn, szn) + less(son, szn)
+    n0[ozf] += less(stf, szf)
+    n1[oon] = less(szn, son) + less(rest, rank[one[oon]])
+    n2[otf] = less(szf, stf) + less(rest, rank[two[otf]])
     out = np.empty(n, np.int64)
-    out[zero] = less(szn, zn) + less(son, zn) + less(stf, zf)
-    out[one] = less(rest, rank[one]) + less(szn, on)
-    out[two] = less(rest, rank[two]) + less(szf, tf)
+    out[zero], out[one], out[two] = n0, n1, n2
     return out
 
 
@@ -123,10 +127,12 @@ def repeated(t: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     order = starts_order = np.argsort(cover_ranks(t, length)[starts], kind="stable")
     p = starts[order]
     same = np.ones(max(len(p) - 1, 0), bool)
-    words = np.lib.stride_tricks.sliding_window_view(t.astype(np.uint16), 4) if len(t) >= 4 else None
-    packed = (words.astype(np.uint64) << np.array([48, 32, 16, 0], np.uint64)).sum(axis=1, dtype=np.uint64) if words is not None else None
+    # seven symbols of 9 bits in a word
+    packed = np.zeros(max(len(t) - 6, 0), np.uint64)
+    for k in range(7):
+        packed = (packed << np.uint64(9)) | t[k : k + len(packed)].astype(np.uint64)
     live = np.arange(len(same))
-    for off in [*range(0, length - 3, 4), length - 4]:
+    for off in [*range(0, length - 6, 7), length - 7]:
         if not len(live):
             break
         ok = packed[p[live] + off] == packed[p[live + 1] + off]
