@@ -7,9 +7,9 @@ hash, and an empty bin borrows the value of a bin that a 2-universal hash of
 `rows` bins make the keys of the bands. Documents with equal sets form a class
 first, so copies cost one row. In a bucket of classes, edges form stars: one
 around its most popular class (the one whose buckets are largest) and one
-around a hub that differs from bucket to bucket. Members that fit neither hub
-try again among themselves until none are left. Every edge is confirmed on the
-full sets before it links.
+around a hub that differs from bucket to bucket. Members of different
+components that fit neither hub try again among themselves, until a round links
+nothing. Every edge is confirmed on the full sets before it links.
 
 Scale: the shuffles move one short row per band and document, partial
 aggregation collapses copies before any key is dealt out, and the joins on
@@ -173,12 +173,8 @@ def stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(hubs, "bk").select("bk", "node", F.explode("hubs").alias("hub")).where("node <> hub")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
-
-    Links documents whose sets of shingles of so many words have a Jaccard
-    similarity of num / den or more.
-    """
+def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int, doc_id: str, text: str) -> DataFrame:
+    """near_duplicates() with tk, a hash of the text."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
     sig = written(signatures(src, words, bins, rows), "signatures")
     some = sig.where("n_shingles > 0")
@@ -200,24 +196,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         src.join(who, src["doc_id"].eqNullSafe(who["rid"]) & (src["tk"] == who["rtk"])).select("node", "text").dropDuplicates(["node"]),
         "texts",
     )
-    links, tried = None, None
+    links, first = None, True
     while True:
-        cand = written(stars(buckets), "stars")
-        edges = cand.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
-        if tried is not None:
-            edges = edges.join(tried, ["u", "v"], "left_anti")
-        edges = written(edges, "candidates")
-        tried = edges if tried is None else tried.unionByName(edges)
-        found = written(confirmed(edges, texts, words, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        # members linked to a hub of their bucket, and the hubs, are done there
-        pair = F.struct(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
-        done = cand.withColumn("e", pair).select("bk", "node", "hub", "e.u", "e.v").join(links, ["u", "v"], "left_semi").select("bk", "node")
-        done = done.unionByName(cand.select("bk", F.col("hub").alias("node"))).distinct()
-        touched = cand.select("bk", "node").distinct()
-        left = touched.join(done, ["bk", "node"], "left_anti")
-        more = left.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1")
-        buckets = written(left.join(more, "bk").join(pop, "node").select("bk", "node", "pop"), "buckets")
+        cand = stars(buckets)
+        if not first:
+            cand = cand.join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hc")), "hub", "left").join(comp, "node", "left")
+            cand = cand.where(F.coalesce("comp", "node") != F.coalesce("hc", "hub"))
+        cand = written(cand.select("bk", "node", "hub", F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")), "stars")
+        found = written(confirmed(cand.select("u", "v").distinct(), texts, words, num, den), "links")
+        links = found if first else links.unionByName(found)
+        if not first and found.isEmpty():
+            break
+        # the hubs of a bucket and the members linked to one are done there
+        done = cand.join(found, ["u", "v"], "left_semi").select("bk", "node").unionByName(cand.select("bk", F.col("hub").alias("node"))).distinct()
+        left = buckets.join(done, ["bk", "node"], "left_anti")
+        if first:
+            comp = written(components(links), "components")
+            first = False
+        # and a bucket whose members are of one component already
+        left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        more = left.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
+        buckets = written(left.join(more, "bk").select("bk", "node", "pop"), "buckets")
         if buckets.isEmpty():
             break
     comp = components(links)
@@ -227,7 +226,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     named = written(label.join(low, "comp").select("node", "component_id"), "components")
     # the empty set is linked with nothing
     out = sig.join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "tk", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept.
+
+    Links documents whose sets of shingles of so many words have a Jaccard
+    similarity of num / den or more.
+    """
+    return grouped(docs, words, num, den, bins, rows, doc_id, text).drop("tk")
 
 
 #: The same rows in DuckDB over the view documents: all pairs that share a shingle, exact.
