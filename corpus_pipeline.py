@@ -1,17 +1,59 @@
-"""Training-data pipeline over documents."""
+"""Training-data pipeline over documents: language ID, near-dedup, decontamination, personal data, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. It works on all
+that the stage before it kept; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from foliant.llm import decontam, langid, minhash, mixing, pii
+from foliant.llm.common import read_table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without a letter, or without a language more probable than not, go."""
+    return langid.recognised(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose shingles of five words are similar by 0.8 or more."""
+    return minhash.distinct(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that benchmark phrases of 13 words do not cover to a twentieth or more."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the name of its kind."""
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, shuffled; n_copies, copy_no and shuffle_key follow their columns."""
+    return mixing.mixed(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("personal_data", personal_data),
+    ("mixing", mix),
+]
 
+#: Language models, MinHash and weak supervision have no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """Apply the stages to documents; what each returns is written and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

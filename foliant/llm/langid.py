@@ -271,34 +271,59 @@ def sample(docs: DataFrame, may_learn: Column, per_lang: int) -> list[tuple[str,
     return out
 
 
-def predict(docs: DataFrame, learn_from: DataFrame | None = None, may_learn: Column | None = None, per_lang: int = 200, vocabulary_path: str = VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, held_out (not learned from), lang_pred, score (the language's posterior), and the columns to keep."""
-    may_learn = (crc(F.col("doc_id")) % 4 != 2) if may_learn is None else may_learn
-    learn_from = docs if learn_from is None else learn_from
-    rows = sample(learn_from, may_learn, per_lang)
+def model(docs: DataFrame, may_learn: Column, per_lang: int, vocabulary_path: str) -> tuple:
+    """(vocabulary, probabilities, languages) to send out."""
+    rows = sample(docs, may_learn, per_lang)
     names = sorted({x for x, _ in rows})
     v = vocabulary(vocabulary_path)
-    prob = fit([t for _, t in rows], [x for x, _ in rows], v, names) if names else np.zeros((v.n, 0))
-    shared = docs.sparkSession.sparkContext.broadcast((v, prob, names))
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    src = docs.select("doc_id", *[c for c in keep if c != "doc_id"], (~may_learn).alias("held_out"), letter.alias("_letter"), F.col("text").alias("_text"))
-    fixed = [f for f in src.schema.fields if f.name not in ("_letter", "_text")]
-    schema = T.StructType([*fixed, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return v, fit([t for _, t in rows], [x for x, _ in rows], v, names) if names else np.zeros((v.n, 0)), names
+
+
+def posteriors(text: pa.Array, letter: np.ndarray, shared: tuple, powers: K.Powers) -> tuple[list[str], np.ndarray]:
+    """Language and its posterior of every text."""
+    v, prob, names = shared
+    data, offs = K.buffers(text)
+    best, p = np.zeros(len(text), np.int64), np.zeros(len(text))
+    if names:
+        for i, j in K.segments(offs, 4_000_000):
+            x = log_probabilities(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], v, prob, powers)
+            best[i:j] = x.argmax(axis=1)
+            p[i:j] = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
+    known = letter & bool(names)
+    return [names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], np.where(known, p, 0.0)
+
+
+def letters(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
+def predict(docs: DataFrame, may_learn: Column | None = None, per_lang: int = 200, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """One row per document: doc_id, held_out (not learned from), lang_pred, score (the language's posterior)."""
+    may_learn = (crc(F.col("doc_id")) % 4 != 2) if may_learn is None else may_learn
+    shared = docs.sparkSession.sparkContext.broadcast(model(docs, may_learn, per_lang, vocabulary_path))
+    src = docs.select("doc_id", (~may_learn).alias("held_out"), letters(F.col("text")).alias("_letter"), F.col("text").alias("_text"))
+    schema = T.StructType([*src.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, prob, names = shared.value
         powers = K.Powers()
         for b in batches:
-            data, offs = K.buffers(b.column(len(fixed) + 1))
-            letter = b.column(len(fixed)).to_numpy(zero_copy_only=False).astype(bool)
-            best, p = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            if names:
-                for i, j in K.segments(offs, 8_000_000):
-                    x = log_probabilities(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], v, prob, powers)
-                    best[i:j] = x.argmax(axis=1)
-                    p[i:j] = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
-            known = letter & bool(names)
-            label = pa.array([names[k] if ok else "und" for k, ok in zip(best, known, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(fixed)], label, pa.array(np.where(known, p, 0.0))], [*(f.name for f in fixed), "lang_pred", "score"])
+            label, p = posteriors(b.column(3), b.column(2).to_numpy(zero_copy_only=False).astype(bool), shared.value, powers)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(label, pa.string()), pa.array(p)], ["doc_id", "held_out", "lang_pred", "score"])
 
     return src.mapInArrow(score, schema)
+
+
+def recognised(docs: DataFrame, least: float = 0.5, may_learn: Column | None = None, per_lang: int = 200, vocabulary_path: str = VOCABULARY) -> DataFrame:
+    """The documents, all their columns, whose text has a language with a posterior of at least `least`."""
+    may_learn = (crc(F.col("doc_id")) % 4 != 2) if may_learn is None else may_learn
+    shared = docs.sparkSession.sparkContext.broadcast(model(docs, may_learn, per_lang, vocabulary_path))
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = K.Powers()
+        for b in batches:
+            label, p = posteriors(b.column(at), b.column(n).to_numpy(zero_copy_only=False).astype(bool), shared.value, powers)
+            ok = pa.array([x != "und" and y >= least for x, y in zip(label, p, strict=True)], pa.bool_())
+            yield b.select(range(n)).filter(ok)
+
+    return docs.select("*", letters(F.col("text")).alias("_letter")).mapInArrow(keep, docs.schema)

@@ -238,6 +238,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     return grouped(docs, words, num, den, bins, rows, doc_id, text).drop("tk")
 
 
+def distinct(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, all their columns, of which each group of near-duplicates keeps the one with the smallest id.
+
+    Rows without an id stay only where no member of their group has one.
+    """
+    found = grouped(docs, words, num, den, bins, rows, doc_id, text)
+    stay = found.where("kept OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
+    return docs.join(stay, docs[doc_id].cast("bigint").eqNullSafe(F.col("_id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_tk")), "left_semi")
+
+
 #: The same rows in DuckDB over the view documents: all pairs that share a shingle, exact.
 SQL = r"""
 WITH RECURSIVE dw AS (
