@@ -78,7 +78,7 @@ def parse(text: str) -> Profile:
     section, seen = "", set()
     at: dict = {}
     number = 0
-    for number, raw in enumerate(text.split("\n"), 1):
+    for number, raw in enumerate(text.removesuffix("\n").split("\n"), 1):
         indent = len(raw) - len(raw.lstrip(" "))
         if raw[indent : indent + 1] == "\t":
             raise ProfileError(number, "tab indentation is not allowed")

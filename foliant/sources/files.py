@@ -28,7 +28,8 @@ def read_packages(spark: SparkSession, path: str) -> DataFrame:
 
 def write_markdown(docs: DataFrame, path: str) -> None:
     """(doc_id, text) as text files, one for each document, in folders by doc_id."""
-    docs.select("doc_id", F.col("text").alias("value")).write.partitionBy("doc_id").option("lineSep", "\n").mode("errorifexists").text(path)
+    # the writer ends each text with a line feed of its own
+    docs.select("doc_id", F.regexp_replace("text", r"\n\z", "").alias("value")).write.partitionBy("doc_id").option("lineSep", "\n").mode("errorifexists").text(path)
 
 
 def write_packages(files: DataFrame, path: str) -> None:
