@@ -50,4 +50,4 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language, op3_warc, op4_mixing, op5_pii, op6_suffix_array, op7_lattice, op8_minhash, op9_toxicity, op10_urls)}
 
-ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op8_minhash": minhash.SQL}
+ORACLE = {"op1_decontamination": decontam.SQL, "op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_suffix_array": suffix_dedup.SQL, "op7_lattice": lattice.SQL, "op8_minhash": minhash.SQL}

@@ -328,3 +328,22 @@ def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int =
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """dedup() with the SHA-256 of what is left in place of it."""
     return dedup(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same rows in DuckDB over the view documents: all strings of 400 bytes, by their MD5.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT r, i, md5(x[i + 1:i + 400]) AS k FROM d, unnest(range(0, octet_length(x) - 399)) AS g(i)),
+c AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM c),
+y AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
+runs AS (SELECT r, min(i) AS s, max(i) + 400 AS e FROM y GROUP BY r, run),
+left_over AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS a, s AS b FROM runs
+  UNION ALL SELECT r, max(e), octet_length(any_value(x)) FROM runs JOIN d USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN b > a THEN hex(x[a + 1:b]) ELSE '' END, '' ORDER BY a) AS h FROM left_over JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, count(*) AS spans, sum(e - s) AS removed FROM runs GROUP BY r)
+SELECT doc_id, CAST(octet_length(x) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(CASE WHEN n.r IS NULL THEN x ELSE unhex(kept.h) END) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
