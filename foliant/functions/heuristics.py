@@ -173,3 +173,41 @@ def media_type(name: Column) -> Column:
     for end, kind in reversed(MEDIA_TYPES):
         out = F.when(F.endswith(name, F.lit(end)), kind).otherwise(out)
     return out
+
+
+# code points
+
+
+def code_points(t: Column) -> Column:
+    """Code points of a text, from its UTF-32 form."""
+    hexa = F.hex(F.encode(t, "UTF-32"))
+    n = F.length(t)
+    one = lambda i: F.conv(F.substring(hexa, i * 8 + 1 + F.length(hexa) - n * 8, F.lit(8)), 16, 10).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<int>"))
+
+
+def utf8_bytes(cp: Column) -> Column:
+    """UTF-8 form of one code point; null for surrogates and beyond the last."""
+    good = (cp >= 0) & (cp <= 0x10FFFF) & ~cp.between(0xD800, 0xDFFF)
+    low = lambda k: F.lpad(F.hex(F.lit(0x80) + F.shiftright(cp, 6 * k) % 64), 2, "0")
+    text = (
+        F.when(cp < 0x80, F.lpad(F.hex(cp), 2, "0"))
+        .when(cp < 0x800, F.concat(F.hex(F.lit(0xC0) + F.shiftright(cp, 6)), low(0)))
+        .when(cp < 0x10000, F.concat(F.hex(F.lit(0xE0) + F.shiftright(cp, 12)), low(1), low(0)))
+        .otherwise(F.concat(F.hex(F.lit(0xF0) + F.shiftright(cp, 18)), low(2), low(1), low(0)))
+    )
+    return F.when(good, F.unhex(text))
+
+
+def xml_blank(t: Column) -> Column:
+    return t.rlike(r"\A[ \t\n\r]*\z")
+
+
+def xml_name(t: Column) -> Column:
+    """Whether a text is a name: ASCII letters, _ and : and all beyond ASCII, behind the first also digits, - and dots."""
+    return t.rlike(r"\A[A-Za-z_:\x{80}-\x{10FFFF}][A-Za-z_:0-9.\x{80}-\x{10FFFF}-]*\z")
+
+
+def local_name(t: Column) -> Column:
+    """A qualified name without its prefix."""
+    return F.element_at(F.split(t, ":", 2), -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown, model, odt
+from ..functions.registry import Registry, default
 from .kernel import flat_map
 
 BLOCKS = (
@@ -61,29 +62,24 @@ def stream(docs: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(own.alias("b")).select("doc_id", F.posexplode("b").alias("stream_idx", "b")).select("doc_id", "stream_idx", "b.kind", "b.level", "b.text")
 
 
-def convert_one(source: str, target: str, payload: str | bytes, strict: bool, template: bytes | None = None) -> tuple[str, model.Error | None, str | bytes | None, list]:
+def convert_one(source: str, target: str, payload: str | bytes, strict: bool, template: bytes | None = None, registry: Registry | None = None) -> tuple[str, model.Error | None, str | bytes | None, list]:
     """(status, error, output, diagnostics) of one document: import, validate, gate, export, gate."""
+    registry = registry or default()
+    reader, writer = registry.find(source), registry.find(target)
     notes: list[tuple[str, str, str, str]] = []
+    if not reader or not writer:
+        return "registry", None, None, [("error", "invalid", "parse", f"unknown format {source if not reader else target}")]
     at = lambda stage, xs: notes.extend((s, c, stage, m) for s, c, m in xs)
     gated = lambda: strict and any(n[0] == "error" for n in notes)
     try:
-        if source == "md":
-            got, xs = markdown.parse(payload if isinstance(payload, str) else payload.decode("utf-8", "replace"))
-        else:
-            got, xs = odt.import_content(odt.content_of(payload))
+        got, xs = reader.read(payload)
         at("normalize_in", xs)
         if e := model.document_error(got):
             at("validate", [("error", e[0], e[1])])
             return "invalid", e, None, notes
         if gated():
             return "policy", None, None, notes
-        if target == "md":
-            out, xs = markdown.export(got)
-        else:
-            xml, xs = odt.content_xml(got)
-            out = odt.package(xml, template=template)
-            if why := odt.package_error(out):
-                raise odt.PackageError(why)
+        out, xs = writer.write(got, template)
         at("emit", xs)
         return ("policy", None, None, notes) if gated() else ("ok", None, out, notes)
     except odt.PackageError as x:

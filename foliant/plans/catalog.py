@@ -421,6 +421,16 @@ def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", packages.crc(F.col("text")).alias("crc"))
 
 
+@query("SELECT c_custkey, regexp_matches(n, '^[A-Za-z_:\\x{80}-\\x{10FFFF}][A-Za-z_:0-9.\\x{80}-\\x{10FFFF}-]*$') AS is_name, length(n) AS n_points, CAST(unicode(n) AS INT) AS first_point FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'é' || c_mktsegment WHEN 2 THEN '9' || c_name ELSE replace(c_name, '#', '_') END AS n FROM customer)")
+def xml_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by the rules of XML, and their code points."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    k = F.col("c_custkey") % 4
+    n = F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.lit("é"), "c_mktsegment")).when(k == 2, F.concat(F.lit("9"), "c_name")).otherwise(F.replace("c_name", F.lit("#"), F.lit("_")))
+    x = c.select("c_custkey", n.alias("n")).withColumn("p", H.code_points(F.col("n")))
+    return x.select("c_custkey", H.xml_name(F.col("n")).alias("is_name"), F.size("p").cast("bigint").alias("n_points"), F.get("p", F.lit(0)).alias("first_point"))
+
+
 GATES = {"placeholders": 8, "max_non_url_line": 240, "raw_xml_like_tokens": 16, "notes": 0, "stage_labels": 3}
 
 

@@ -96,3 +96,51 @@ def test_stream_equals_batch(spark, docs, tmp_path):
     from foliant.operators import lines
 
     assert sorted(map(str, got)) == sorted(map(str, lines.metrics(src).collect()))
+
+
+def test_utf8(spark):
+    good, bad = ("41", "C3BC", "E282AC", "F09F9982", ""), ("C0AF", "E080AF", "EDA080", "E282", "80", "F4908080")
+    df = spark.createDataFrame([(x,) for x in good + bad], "h string").select("h", F.is_valid_utf8(F.unhex("h")).alias("ok"))
+    assert {r.h for r in df.collect() if r.ok} == set(good)
+    points = (0x41, 0x7F, 0x80, 0xFC, 0x7FF, 0x800, 0x20AC, 0xFFFF, 0x10000, 0x1F642, 0x10FFFF, 0xD800, 0x110000, -1)
+    got = spark.createDataFrame([(p,) for p in points], "p int").select("p", H.utf8_bytes(F.col("p")).alias("b")).collect()
+    for r in got:
+        fine = 0 <= r.p <= 0x10FFFF and not 0xD800 <= r.p <= 0xDFFF
+        assert (bytes(r.b) if r.b is not None else None) == (chr(r.p).encode() if fine else None)
+    text = "aé€🙂"
+    assert spark.createDataFrame([(text,)], "t string").select(H.code_points(F.col("t"))).first()[0] == [ord(c) for c in text]
+    assert spark.createDataFrame([("",)], "t string").select(H.code_points(F.col("t"))).first()[0] == []
+
+
+def test_names(spark):
+    names = {"a": True, "_x1": True, "a:b-c.d": True, "éa": True, "1a": False, "-a": False, "": False, "a b": False}
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", H.xml_name(F.col("n")).alias("ok"), H.local_name(F.col("n")).alias("l")).collect()
+    assert {r.n: r.ok for r in got} == names and {r.n: r.l for r in got}["a:b-c.d"] == "b-c.d"
+
+
+def test_registry():
+    from foliant.functions.registry import Handler, Registry, default
+
+    r = default()
+    assert r.find("md") and r.find("docx") is None
+    with pytest.raises(ValueError):
+        r.register(r.find("md"))
+    many = Registry()
+    for i in range(16):
+        many.register(Handler(f"f{i}", None, None))
+    with pytest.raises(ValueError):
+        many.register(Handler("one more", None, None))
+    fail = Handler("bad", lambda _: ([], [("error", "invalid", "no")]), None)
+    r.register(fail)
+    assert blocks.convert_one("bad", "md", "x", True, registry=r)[0] == "policy"
+    assert blocks.convert_one("bad", "md", "x", False, registry=r)[0] == "ok"
+    assert blocks.convert_one("nil", "md", "x", False, registry=r)[0] == "registry"
+
+
+def test_deflate(spark):
+    import random
+
+    rng = random.Random(0x12345678)
+    rows = [(i, rng.randbytes(rng.randrange(3000)) + b"ab" * rng.randrange(9000)) for i in range(40)] + [(99, b""), (100, None)]
+    got = {r.id: bytes(r.back) for r in packages.deflated(spark.createDataFrame(rows, "id bigint, data binary")).collect()}
+    assert got == {i: d or b"" for i, d in rows}
