@@ -22,6 +22,7 @@ DIRECTIVE = re.compile(r":::[ \t]*([^ \t]+)[ \t]*(.*)", re.S)
 HEADING = re.compile(r"(#{1,6}) (.*)", re.S)
 MARKER = re.compile(r"(?:([-*])|([0-9]+)\.) (.*)", re.S)
 STYLE_LINE = re.compile(r"[ \t]*\{\.([^}]+)\}[ \t]*")
+DASHES = re.compile(r"[-: \t]*-[-: \t]*")
 DELIMITER = re.compile(r"[-:| \t]*-[-:| \t]*")
 
 
@@ -120,20 +121,22 @@ def parse(text: str) -> tuple[list[dict], list[tuple[str, str, str]]]:
         """A block that ::: closes, and its last line; an unclosed one ends on its own line, so that its lines are read again."""
         body, j, closed = [], i + 1, False
         while j < len(lines):
-            x = lines[j].lstrip(" \t")
-            if x.startswith(":::"):
+            x = lines[j].strip(" \t")
+            if x == ":::":
                 closed = True
                 break
             if x:
                 body.append((j, x))
             j += 1
         last = j if closed else i
+        if not body and (name in ADMONITIONS or name == "figure"):
+            notes.append(("warning", "unsupported_construct", "empty directive block"))
         if name in ADMONITIONS:
             b = block("admonition", i, admonition=name, blocks=[block("paragraph", k, inlines=inline(x)) for k, x in body])
             b["style"] = f"admonition-{name}"
             return b, last
         if name == "figure":
-            b = block("figure", i, asset=arg.strip(" \t"), caption=inline(body[-1][1]) if body else [])
+            b = block("figure", i, asset=arg, caption=[text_inline(body[-1][1])] if body else [])
             b["style"] = "figure"
             return b, last
         return None
@@ -157,7 +160,7 @@ def parse(text: str) -> tuple[list[dict], list[tuple[str, str, str]]]:
             body = "".join(x + "\n" for x in lines[i + 1 : j])
             if j == len(lines) and text.endswith("\n"):
                 body += "\n"
-            blocks.append(block("code", i, language=line[3:].strip(" \t") or None, text=body))
+            blocks.append(block("code", i, language=line[3:] or None, text=body))
             i = j + 1
             continue
         if line.startswith(">"):
@@ -296,7 +299,7 @@ def export_list(b: dict, indent: int) -> str:
         first, rest = (item["blocks"][0], item["blocks"][1:]) if item["blocks"] else (None, [])
         body = inline_text(first["inlines"]) if first and first["kind"] == "paragraph" else ""
         out.append(" " * indent + mark + body + "\n")
-        for x in ([first] if first and first["kind"] == "list" else []) + rest:
+        for x in rest:
             if x["kind"] == "list":
                 out.append(export_list(x, indent + 2))
             elif x["kind"] == "paragraph":
@@ -305,8 +308,9 @@ def export_list(b: dict, indent: int) -> str:
 
 
 def delimiter_like(row: list[dict]) -> bool:
-    cells = [raw_inline(c["blocks"][0]["inlines"]).strip() if c["blocks"] and c["blocks"][0]["kind"] == "paragraph" else "x" for c in row]
-    return bool(cells) and all(re.fullmatch(r":?-+:?", c) for c in cells)
+    """Cells of nothing but dashes, colons and blanks, with a dash in each."""
+    xs = [[x for b in c["blocks"] for x in (b["inlines"] if b["kind"] == "paragraph" else [{"kind": "block"}])] for c in row]
+    return bool(xs) and all(all(x["kind"] == "text" for x in c) and DASHES.fullmatch("".join(x["text"] for x in c)) for c in xs)
 
 
 def export_block(b: dict, notes: list) -> str:

@@ -103,3 +103,17 @@ def test_wrap(parts):
         assert len(piece) <= 240
     if len(got[-1]) > 240:
         assert not re.search(rb"[^ ] [^ ]", got[-1][M.WRAP_FROM : 240])
+
+
+def test_directives_end_at_three_colons_alone():
+    got = M.parse(":::tip\na\n:::x\nb \n ::: \nafter")[0]
+    assert [b["kind"] for b in got] == ["admonition", "paragraph"]
+    assert [M.raw_inline(p["inlines"]) for p in got[0]["blocks"]] == ["a", ":::x", "b"]
+    assert M.parse(":::tip\n:::")[1] == [("warning", "unsupported_construct", "empty directive block")]
+    assert M.parse(":::other\nx")[0][0]["kind"] == "paragraph"
+
+
+def test_code_and_delimiter_rows():
+    assert M.parse("``` a b\nx\n")[0][0]["language"] == " a b" and M.parse("```\nx\n")[0][0]["text"] == "x\n\n"
+    cell = lambda t: {"header": False, "blocks": [{"kind": "paragraph", "style": None, "inlines": M.inlines(t)}]}
+    assert M.delimiter_like([cell("---"), cell(": -")]) and not M.delimiter_like([cell("---"), cell("a")]) and not M.delimiter_like([cell(":")])
