@@ -244,9 +244,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The documents that are not contaminated, all their columns; the verdict is the text's, whatever the id."""
-    key = F.xxhash64("text")
+    key = F.xxhash64(docs["text"])
     bad = contamination(docs.select(key.alias("doc_id"), "text"), items, window, share).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
 #: The same rows in DuckDB, over views documents and benchmark.

@@ -245,7 +245,7 @@ def distinct(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bin
     """
     found = grouped(docs, words, num, den, bins, rows, doc_id, text)
     stay = found.where("kept OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    return docs.join(stay, docs[doc_id].cast("bigint").eqNullSafe(F.col("_id")) & F.xxhash64(docs[text]).eqNullSafe(F.col("_tk")), "left_semi")
+    return docs.join(stay, docs[doc_id].cast("bigint").eqNullSafe(stay["_id"]) & F.xxhash64(docs[text]).eqNullSafe(stay["_tk"]), "left_semi")
 
 
 #: The same rows in DuckDB over the view documents: all pairs that share a shingle, exact.

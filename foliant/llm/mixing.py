@@ -44,11 +44,13 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         for k, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(w))).otherwise(share)
     sizes = sizes.withColumn("share", share)
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("share"))).alias("all_share"))
-    spend = F.lit(float(budget)) if budget is not None else F.col("all_size")
+    total = sizes.agg(F.sum("size"), F.sum(F.when(F.col("size") > 0, F.col("share")))).first()  # one row
+    all_size, all_share = float(total[0] or 0), float(total[1] or 0)
     empty = F.lit(1.0) if weights is None else F.lit(0.0)
-    rate = F.when((F.col("size") > 0) & (F.col("all_share") > 0), F.col("share") / F.col("all_share") * spend / F.col("size")).otherwise(empty)
-    return sizes.crossJoin(F.broadcast(total)).select("source", rate.alias("rate"))  # total: one row
+    if not all_share:
+        return sizes.select("source", empty.alias("rate"))
+    rate = F.col("share") / F.lit(all_share) * F.lit(float(all_size if budget is None else budget)) / F.col("size")
+    return sizes.select("source", F.when(F.col("size") > 0, rate).otherwise(empty).alias("rate"))
 
 
 def cumulative(rate: Column) -> Column:
@@ -65,13 +67,16 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     table = rates(docs, weights, alpha, budget, source, size).select(F.col("source").alias("_source"), cumulative(F.col("rate")).alias("_cdf"))
     if table.select("_source").limit(broadcast_sources + 1).count() <= broadcast_sources:
         table = F.broadcast(table)
-    drawn = uniform(seed, F.col(doc_id))
-    joined = docs.withColumn("_u", drawn).join(table, F.col(source).eqNullSafe(F.col("_source")))
+    ours = ("n_copies", "copy_no", "shuffle_key")
+    # the row as one value, so that no column's name meets ours
+    row = F.struct(*(docs[c] for c in docs.columns if c not in ours))
+    rows = docs.select(row.alias("_row"), docs[source].alias("_own"), F.coalesce(docs[doc_id].cast("string"), F.lit("")).alias("_id"), uniform(seed, docs[doc_id]).alias("_u"))
+    joined = rows.join(table, F.col("_own").eqNullSafe(F.col("_source")))
     n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    out = joined.withColumn("n_copies", n.cast("bigint")).drop("_cdf", "_u", "_source").where("n_copies > 0")
+    out = joined.select("_row", "_id", n.cast("bigint").alias("n_copies")).where("n_copies > 0")
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col("copy_no").cast("string")))
-    return out.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), "_id", F.col("copy_no").cast("string")))
+    return out.select("_row.*", "n_copies", "copy_no", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 #: The same rows in DuckDB over the view documents.

@@ -228,21 +228,27 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """The same columns; each span of text becomes <KIND>, overlapping ones the first of them, and n_chars the new length."""
-    cols = docs.columns
-    kept = tuple(c for c in cols if c != text)
-    spans = found(docs.withColumn("_own", F.col(text)), text, (*kept, "_own"))
-    w = train(written(found(docs, text, ()), "spans"))
-    spans = spans.withColumn("_all", F.array_sort(F.transform(accepted(w), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.upper(x["kind"]).alias("kind")))))
+    # the row as one value, so that no column's name meets ours
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[text].alias("text"))
+    w = train(written(found(rows, "text", ()), "spans"))
+    own = F.col("_row")[text]
+    spans = found(rows, "text", ("_row",)).withColumn("_all", F.array_sort(F.transform(accepted(w), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.upper(x["kind"]).alias("kind")))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        piece = F.substring(F.col("_own"), a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+        piece = F.substring(own, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
         put = F.array(piece, F.concat(F.lit("<"), x["kind"], F.lit(">")))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], put)).otherwise(a["out"]).alias("out"))
 
-    whole = F.aggregate("_all", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("_own"), a["at"] + 1, F.length(F.col("_own")))))
-    new = F.when(F.size("_all") > 0, whole).otherwise(F.col("_own"))
-    out = spans.withColumn(text, new)
-    if n_chars in cols:
-        out = out.withColumn(n_chars, F.when(F.size("_all") > 0, F.length(text).cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
-    return out.select(*cols)
+    whole = F.aggregate("_all", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(own, a["at"] + 1, F.length(own))))
+    hit = F.size("_all") > 0
+    spans = spans.select("_row", hit.alias("_hit"), F.when(hit, whole).otherwise(own).alias("_new"))
+
+    def column(c: str) -> Column:
+        if c == text:
+            return F.col("_new")
+        if c == n_chars:
+            return F.when(F.col("_hit"), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col("_row")[c])
+        return F.col("_row")[c]
+
+    return spans.select(*(column(c).alias(c) for c in docs.columns))
