@@ -16,9 +16,11 @@ surroundings of anchors that occur more than once are sorted at all.
 
 Scale: texts are shuffled twice, once to fetch the bytes of contexts to be
 compared, once to cut. Anchors (about one for each 170 bytes) are counted with
-partial aggregation, so copies and near copies cost a row for each task. A
-group of more than GROUP different contexts is divided by the offset of a start
-from its anchor, then by a hash of its bytes: equal strings share both.
+partial aggregation, and only those whose k-mer occurs twice go on. The
+contexts of a k-mer that has more than GROUP different ones are cut into pieces
+by the offset of a start from its anchor; equal pieces are aggregated before
+they are dealt out, and the others are grouped by the bytes that all strings of
+a piece share, so a large group of near copies spreads over many tasks.
 
 Edge cases: a null or empty text has no bytes; texts shorter than `length` keep
 all; equal texts count as often as they occur; a null doc_id stays null;
@@ -42,6 +44,8 @@ from .common import written
 LENGTH, KMER = 400, 64
 #: Different contexts of one k-mer that one block sorts; bytes of a block, bounded so that three names fit in 64 bits.
 GROUP, BLOCK = 1000, 1_200_000
+#: Starts of a piece of a context whose group is larger.
+RUN = 64
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,7 +95,11 @@ def cover_ranks(t: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     m = n + (n % 3 == 1)  # one more place where the last triple needs a terminator
     one, two = np.arange(1, m, 3), np.arange(2, m, 3)
     at = np.concatenate([one, two])
-    key = (s[at] * base + s[at + 1]) * base + s[at + 2]
+    if base * base * (n + 6) >= 1 << 62:  # three names don't fit in 64 bits: name pairs first
+        _, pair = np.unique(s[:-1] * base + s[1:], return_inverse=True)
+    else:
+        pair = s[:-1] * base + s[1:]
+    key = pair[at] * base + s[at + 2]
     order = np.argsort(key)
     new = np.concatenate([[True], np.diff(key[order]) > 0])
     names = np.empty(len(at), np.int64)
@@ -106,7 +114,7 @@ def cover_ranks(t: np.ndarray, depth: int, span: int = 1) -> np.ndarray:
     one, two, zero = one[one < n], two[two < n], np.arange(0, n, 3)
     wide = n + 6
     near = lambda i: s[i] * wide + rank[i + 1]
-    far = lambda i: (s[i] * base + s[i + 1]) * wide + rank[i + 2]
+    far = lambda i: pair[i] * wide + rank[i + 2]
     # queries in ascending order keep the binary searches near each other
     zn, zf, on, tf, r12 = near(zero), far(zero), near(one), far(two), rank[np.concatenate([one, two])]
     ozn, ozf, oon, otf = (np.argsort(x) for x in (zn, zf, on, tf))
@@ -176,12 +184,27 @@ def occurrences(src: DataFrame, length: int, kmer: int) -> DataFrame:
     return src.mapInArrow(rows, OCCURRENCES)
 
 
-CONTEXTS = "h bigint, sub bigint, c bigint, single boolean, i0 int, content binary"
+CONTEXTS = "h bigint, sub bigint, pk bigint, c bigint, single boolean, i0 int, content binary"
+
+
+def pieces(text: bytes, p: int, a: int, b: int, length: int, run: int) -> Iterator[tuple[int, int, bytes]]:
+    """(sub, i0, bytes) of a context cut into runs of starts by their offset from the anchor.
+
+    All strings of a run hold the bytes between its last start and its first
+    end; sub is a hash of these and of the run, so equal strings share it.
+    """
+    i = a
+    while i <= b:
+        k = (p - i) // run
+        j = min(b, p - k * run)  # the last start of this run
+        core = text[p - k * run : p - k * run - run + 1 + length]  # the same place for all contexts, whichever starts they have
+        sub = int.from_bytes(hashlib.blake2b(core, digest_size=8, salt=k.to_bytes(8, "big")).digest(), "big", signed=True)
+        yield sub, i - a, text[i : j + length]
+        i = j + 1
 
 
-def contexts(wanted: DataFrame, length: int, kmer: int, group: int) -> DataFrame:
-    """The bytes of contexts, divided where their group is large; wanted: (text, want array of h, c, p, a, b, n, many)."""
-    span = length - kmer + 1
+def contexts(wanted: DataFrame, length: int, group: int, run: int) -> DataFrame:
+    """The bytes of contexts, cut into pieces where their group is large; wanted: (text, want array of h, c, p, a, b, n, many)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,20 +215,13 @@ def contexts(wanted: DataFrame, length: int, kmer: int, group: int) -> DataFrame
                 for w in batch.column(1)[r].as_py():
                     h, c, p, a, b, n, many = (w[k] for k in ("h", "c", "p", "a", "b", "n", "many"))
                     if many <= group:
-                        out.append((h, 0, c, n == 1, 0, text[a : b + length]))
+                        out.append((h, None, c, c, n == 1, 0, text[a : b + length]))
                         size += b + length - a
-                    else:
-                        step = max(1, span * group // many)
-                        hashes = -(-many // (group * span))
-                        i = a
-                        while i <= b:
-                            sub = (p - i) // step
-                            j = min(b, p - sub * step)  # the last start of this offset range
-                            piece = text[i : j + length]
-                            salt = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big") % hashes if hashes > 1 else 0
-                            out.append((h, 1 + sub * hashes + salt, c, n == 1, i - a, piece))
-                            size += len(piece)
-                            i = j + 1
+                        continue
+                    for sub, i0, content in pieces(text, p, a, b, length, run):
+                        pk = hashlib.blake2b(content, digest_size=8, salt=(p - a - i0).to_bytes(8, "big")).digest()
+                        out.append((h, sub, int.from_bytes(pk, "big", signed=True), c, n == 1, i0, content))
+                        size += len(content)
                     if size > 4_000_000:
                         yield batch_of(out)
                         out, size = [], 0
@@ -213,18 +229,18 @@ def contexts(wanted: DataFrame, length: int, kmer: int, group: int) -> DataFrame
                 yield batch_of(out)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["h", "sub", "c", "single", "i0", "content"])
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["h", "sub", "pk", "c", "single", "i0", "content"])
 
     return wanted.mapInArrow(rows, CONTEXTS)
 
 
-def compared(rows_: DataFrame, length: int) -> DataFrame:
-    """(c, h, first and last start that repeats) in contexts that occur once; rows sorted by (h, sub) in each partition."""
+def compared(groups: DataFrame, length: int) -> DataFrame:
+    """(h, pk, lo, hi): runs of starts that repeat, in pieces that occur once; groups: (h, sub, pk, single, content), sorted by h and sub."""
 
-    def block(rows: list[tuple[int, int, bool, int, bytes]]) -> pa.RecordBatch:
-        size = np.array([len(r[4]) for r in rows])
-        t = np.frombuffer(b"".join(r[4] + b"\0" for r in rows), np.uint8).astype(np.int32) + 2
+    def block(rows: list[tuple[int, int, bool, bytes]]) -> pa.RecordBatch:
+        size = np.array([len(r[3]) for r in rows])
+        t = np.frombuffer(b"".join(r[3] + b"\0" for r in rows), np.uint8).astype(np.int32) + 2
         at = np.cumsum(size + 1) - size - 1
         t[at + size] = 1
         n = size - length + 1
@@ -236,10 +252,9 @@ def compared(rows_: DataFrame, length: int) -> DataFrame:
         first = hit & ~(np.concatenate([[False], hit[:-1]]) & (np.concatenate([[-1], who[:-1]]) == who))
         last = hit & ~(np.concatenate([hit[1:], [False]]) & (np.concatenate([who[1:], [-1]]) == who))
         w = who[first]
-        i0 = np.array([r[3] for r in rows])
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][0] for k in w], pa.int64()), pa.array([rows[k][1] for k in w], pa.int64()), pa.array((within[first] + i0[w]).astype(np.int32)), pa.array((within[last] + i0[w]).astype(np.int32))],
-            ["h", "c", "lo", "hi"],
+            [pa.array([rows[k][0] for k in w], pa.int64()), pa.array([rows[k][1] for k in w], pa.int64()), pa.array(within[first].astype(np.int32)), pa.array(within[last].astype(np.int32))],
+            ["h", "pk", "lo", "hi"],
         )
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +264,8 @@ def compared(rows_: DataFrame, length: int) -> DataFrame:
         size = own = 0
         last = None
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(6)]
-            for h, sub, c, single, i0, content in zip(*cols, strict=True):
+            cols = [b.column(k).to_pylist() for k in range(5)]
+            for h, sub, pk, single, content in zip(*cols, strict=True):
                 if (h, sub) != last:
                     if len(group) > 1:
                         if size + own > BLOCK and done:
@@ -259,7 +274,7 @@ def compared(rows_: DataFrame, length: int) -> DataFrame:
                         done += group
                         size += own
                     group, own, last = [], 0, (h, sub)
-                group.append((h, c, single, i0, content))
+                group.append((h, pk, single, content))
                 own += len(content) + 1
         if len(group) > 1:
             if size + own > BLOCK and done:
@@ -269,26 +284,32 @@ def compared(rows_: DataFrame, length: int) -> DataFrame:
         if done:
             yield block(done)
 
-    return rows_.mapInArrow(rows, "h bigint, c bigint, lo int, hi int")
+    return groups.select("h", "sub", "pk", "single", "content").mapInArrow(rows, "h bigint, pk bigint, lo int, hi int")
 
 
-def removals(src: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int = GROUP) -> DataFrame:
+def removals(src: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int = GROUP, run: int = RUN) -> DataFrame:
     """(tk, spans): the byte ranges that repeats cover in each distinct text that has any; src: (tk, text binary)."""
-    occ = written(
-        occurrences(src, length, kmer).groupBy("tk", "p", "a", "b", "h", "c").agg(F.count("*").alias("m")), "anchors"
-    )
-    each = occ.groupBy("h", "c").agg(F.sum("m").alias("n"), F.min(F.struct("tk", "p", "a", "b")).alias("r"))
-    each = written(each.select("h", "c", "n", "r.*"), "contexts")
-    # k-mers with different contexts
-    mixed = each.groupBy("h").agg(F.count("*").alias("many")).where("many > 1")
-    want = each.join(mixed, "h").groupBy("tk").agg(F.collect_list(F.struct("h", "c", "p", "a", "b", "n", "many")).alias("want"))
+    occ = written(occurrences(src, length, kmer), "anchors")
+    # only k-mers that occur more than once go on; mixed: with different contexts
+    twice = occ.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
+    cand = written(occ.join(twice.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"), "candidates")
+    each = cand.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("tk", "p", "a", "b")).alias("r"))
+    each = written(each.select("h", "c", "n", "mixed", "r.*"), "contexts")
+    many = each.where("mixed").groupBy("h").agg(F.count("*").alias("many"))
+    want = each.join(many, "h").groupBy("tk").agg(F.collect_list(F.struct("h", "c", "p", "a", "b", "n", "many")).alias("want"))
     texts = src.join(want.select("tk"), "tk", "left_semi").dropDuplicates(["tk"]).join(want, "tk").select("text", "want")
-    parts = contexts(texts, length, kmer, group).repartition("h", "sub").sortWithinPartitions("h", "sub")
-    some = compared(parts, length)
+    parts = written(contexts(texts, length, group, run), "pieces")
+    few = compared(parts.where("sub IS NULL").repartition("h").sortWithinPartitions("h"), length).withColumnRenamed("pk", "c")
+    # of a large group, equal pieces are one row each, and those that differ meet those with the same core
+    crowd = parts.where("sub IS NOT NULL")
+    one = crowd.groupBy("h", "sub", "pk", "content").agg(F.count("*").alias("n"))
+    lone = compared(one.withColumn("single", F.col("n") == 1).repartition("h", "sub").sortWithinPartitions("h", "sub"), length)
+    shared = one.where("n > 1").select("h", "pk", F.lit(0).alias("lo"), (F.octet_length("content") - length).alias("hi"))
+    lots = crowd.select("h", "pk", "c", "i0").join(lone.unionByName(shared), ["h", "pk"]).select("h", "c", (F.col("lo") + F.col("i0")).alias("lo"), (F.col("hi") + F.col("i0")).alias("hi"))
     whole = each.where("n > 1").select("h", "c", F.lit(0).alias("lo"), (F.col("b") - F.col("a")).alias("hi"))
-    runs = written(some.unionByName(whole), "runs")
-    hits = occ.select("tk", "a", "h", "c").join(runs, ["h", "c"]).select("tk", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + length).alias("e"))
-    return hits.groupBy("tk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    runs = written(few.unionByName(lots).unionByName(whole), "runs")
+    hits = cand.select("tk", "a", "h", "c").join(runs, ["h", "c"]).select("tk", (F.col("a") + F.col("lo")).alias("s"), (F.col("a") + F.col("hi") + length).alias("e"))
+    return hits.groupBy("tk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -304,11 +325,11 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int]:
     return b"".join(out), runs
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int = GROUP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int = GROUP, run: int = RUN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, kept (the bytes left), n_removed, n_spans."""
     own = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     src = docs.select(F.col(doc_id).alias("doc_id"), F.unhex(F.md5(own)).alias("tk"), own.alias("text"))
-    spans = removals(src.select("tk", "text").where(F.octet_length("text") >= length), length, kmer, group)
+    spans = removals(src.select("tk", "text").where(F.octet_length("text") >= length), length, kmer, group, run)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
