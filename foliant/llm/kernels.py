@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass handles; a longer text makes a pass of its own.
-SEGMENT = 2_000_000
+SEGMENT = 1_000_000
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
