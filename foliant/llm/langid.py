@@ -201,33 +201,43 @@ def fit(texts: list[str], langs: list[str], v: Vocabulary, names: list[str], rou
     _, one, inv = np.unique(key, return_index=True, return_inverse=True)
     count = np.zeros((len(one), len(names)))
     np.add.at(count, (inv, which), 1)
-    lat = Lattice.of(data, h, s[one], e[one], v, powers)
+    # words of like length in parts, so that their sums stay small
+    order = np.argsort((e - s)[one], kind="stable")
+    parts = [order[i : i + 10_000] for i in range(0, len(order), 10_000)]
+    lattices = [Lattice.of(data, h, s[one[i]], e[one[i]], v, powers) for i in parts]
     prob = np.full((v.n, len(names)), 1.0 / v.n)
-    top = int(lat.size.max(initial=0))
-    bound = np.searchsorted(lat.e, np.arange(top + 2))
-    n = len(one)
     for _ in range(rounds):
-        x = lat.weights(prob) * np.float64(30.0) ** (lat.e - lat.s)[:, None]
-        a, b = np.zeros((n, top + 1, len(names))), np.zeros((n, top + 1, len(names)))
-        a[:, 0] = 1
-        b[np.arange(n), lat.size] = 1
-        for end in range(1, top + 1):
-            i = slice(bound[end], bound[end + 1])
-            for c in range(len(names)):
-                a[:, end, c] = np.bincount(lat.word[i], weights=a[lat.word[i], lat.s[i], c] * x[i, c], minlength=n)
-        total = a[np.arange(n), lat.size]
-        for end in range(top, 0, -1):
-            i = slice(bound[end], bound[end + 1])
-            np.add.at(b, (lat.word[i], lat.s[i]), b[lat.word[i], end] * x[i])
-        soft = a[lat.word, lat.s] * x * b[lat.word, lat.e] * (count / np.maximum(total, 1e-300))[lat.word]
         new = np.zeros_like(prob)
-        for c in range(len(names)):
-            new[:, c] = np.bincount(lat.piece, weights=soft[:, c], minlength=v.n)
-            new[-1, c] = soft[lat.marked, c].sum()
+        for i, lat in zip(parts, lattices, strict=True):
+            new += expected(lat, prob, count[i])
         prob = (new + smooth) / (new + smooth).sum(axis=0)
     return prob
 
 
+def expected(lat: Lattice, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """(pieces, languages) expected numbers of pieces over all segmentations; count: (words, languages)."""
+    n, k, top = len(lat.size), prob.shape[1], int(lat.size.max(initial=0))
+    bound = np.searchsorted(lat.e, np.arange(top + 2))
+    x = lat.weights(prob) * np.float64(30.0) ** (lat.e - lat.s)[:, None]
+    a, b = np.zeros((n, top + 1, k)), np.zeros((n, top + 1, k))
+    a[:, 0] = 1
+    b[np.arange(n), lat.size] = 1
+    for end in range(1, top + 1):
+        i = slice(bound[end], bound[end + 1])
+        for c in range(k):
+            a[:, end, c] = np.bincount(lat.word[i], weights=a[lat.word[i], lat.s[i], c] * x[i, c], minlength=n)
+    total = a[np.arange(n), lat.size]
+    for end in range(top, 0, -1):
+        i = slice(bound[end], bound[end + 1])
+        np.add.at(b, (lat.word[i], lat.s[i]), b[lat.word[i], end] * x[i])
+    soft = a[lat.word, lat.s] * x * b[lat.word, lat.e] * (count / np.maximum(total, 1e-300))[lat.word]
+    out = np.zeros_like(prob)
+    for c in range(k):
+        out[:, c] = np.bincount(lat.piece, weights=soft[:, c], minlength=len(prob))
+        out[-1, c] = soft[lat.marked, c].sum()
+    return out
+
+
 def log_probabilities(data: np.ndarray, offs: np.ndarray, v: Vocabulary, prob: np.ndarray, powers: K.Powers, at_once: int = 20_000) -> np.ndarray:
     """(texts, languages) log probabilities of whole texts."""
     out = np.zeros((len(offs) - 1, prob.shape[1]))
@@ -285,7 +295,7 @@ def posteriors(text: pa.Array, letter: np.ndarray, shared: tuple, powers: K.Powe
     data, offs = K.buffers(text)
     best, p = np.zeros(len(text), np.int64), np.zeros(len(text))
     if names:
-        for i, j in K.segments(offs, 4_000_000):
+        for i, j in K.segments(offs, 2_000_000):
             x = log_probabilities(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], v, prob, powers)
             best[i:j] = x.argmax(axis=1)
             p[i:j] = 1 / np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)
@@ -317,13 +327,17 @@ def recognised(docs: DataFrame, least: float = 0.5, may_learn: Column | None = N
     """The documents, all their columns, whose text has a language with a posterior of at least `least`."""
     may_learn = (crc(F.col("doc_id")) % 4 != 2) if may_learn is None else may_learn
     shared = docs.sparkSession.sparkContext.broadcast(model(docs, may_learn, per_lang, vocabulary_path))
-    at, n = docs.columns.index("text"), len(docs.columns)
+    names = docs.columns
+    at = names.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = K.Powers()
         for b in batches:
-            label, p = posteriors(b.column(at), b.column(n).to_numpy(zero_copy_only=False).astype(bool), shared.value, powers)
+            cols = b.column(0).flatten()
+            label, p = posteriors(cols[at], b.column(1).to_numpy(zero_copy_only=False).astype(bool), shared.value, powers)
             ok = pa.array([x != "und" and y >= least for x, y in zip(label, p, strict=True)], pa.bool_())
-            yield b.select(range(n)).filter(ok)
+            yield pa.RecordBatch.from_arrays(cols, names).filter(ok)
 
-    return docs.select("*", letters(F.col("text")).alias("_letter")).mapInArrow(keep, docs.schema)
+    # the row as one value, so that no column's name meets ours
+    row = F.struct(*(docs[c] for c in names))
+    return docs.select(row.alias("_row"), letters(docs["text"]).alias("_letter")).mapInArrow(keep, docs.schema)
