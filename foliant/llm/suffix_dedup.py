@@ -292,7 +292,9 @@ def removals(src: DataFrame, length: int = LENGTH, kmer: int = KMER, group: int
     occ = written(occurrences(src, length, kmer), "anchors")
     # only k-mers that occur more than once go on; mixed: with different contexts
     twice = occ.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1")
-    cand = written(occ.join(twice.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "h"), "candidates")
+    # written, so that both sides of the join are plain shuffles, which AQE can split at a hot k-mer
+    twice = written(twice.select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "twice")
+    cand = written(occ.join(twice, "h"), "candidates")
     each = cand.groupBy("h", "c").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("tk", "p", "a", "b")).alias("r"))
     each = written(each.select("h", "c", "n", "mixed", "r.*"), "contexts")
     many = each.where("mixed").groupBy("h").agg(F.count("*").alias("many"))
