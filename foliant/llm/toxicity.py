@@ -267,12 +267,15 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     marks = labels.where(may_learn & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     n = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row for each label
     share = n.get(1, 0) / max(n.get(1, 0) + n.get(0, 0), 1)
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    picked = None
-    for y in (0, 1):
-        part = marks.where(F.col("y") == y).orderBy(h, "doc_id").limit(per_class)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()  # 2 x per_class rows at most
+    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
+    bound = F.lit(0)
+    for y, size in n.items():
+        bound = F.when(F.col("y") == y, F.lit(int(min(1.0, 1.3 * per_class / size + 1e-9) * (1 << 40)))).otherwise(bound)
+    # ids only; a little over the bound, which is then cut
+    some = sorted((r["h"], r["doc_id"], r["y"]) for r in marks.where(h < bound).select(h.alias("h"), "doc_id", "y").collect())
+    ids = [x[1:] for y in (0, 1) for x in [x for x in some if x[2] == y][:per_class]]
+    picked = docs.sparkSession.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()  # 2 x per_class rows at most
     return [r["text"] or "" for r in rows], [r["y"] for r in rows], share
 
 
