@@ -131,6 +131,23 @@ def train(rows: list[tuple[str, str, str]], words: dict[str, float], smooth: flo
     return {"prior": math.log(docs["block"] / docs["allow"]), "odds": odds}
 
 
+def sample(decided: DataFrame, fit_rows: int) -> list[tuple[str, str, str]]:
+    """(host, path, verdict) of at most fit_rows rows of each verdict, those of the smallest hashes.
+
+    A hash bound set by the verdicts' counts keeps what reaches the driver to little more than that.
+    """
+    known = decided.where("decided IS NOT NULL")
+    h = F.pmod(F.xxhash64("host", "path", F.col("page_id").cast("string")), F.lit(1 << 40))
+    bound = F.lit(0)
+    for r in known.groupBy("decided").agg(F.count("*").alias("n")).collect():  # a row for each verdict
+        share = min(1.0, 1.3 * fit_rows / r["n"] + 1e-9)
+        bound = F.when(F.col("decided") == r["decided"], F.lit(int(share * (1 << 40)))).otherwise(bound)
+    got: dict[str, list] = {}
+    for r in sorted(known.where(h < bound).select(h.alias("h"), "host", "path", "decided").collect()):
+        got.setdefault(r["decided"], []).append((r["host"], r["path"], r["decided"]))
+    return [x for v in sorted(got) for x in got[v][:fit_rows]]
+
+
 def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = 5000, vocabulary: str = VOCABULARY, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, score (log odds of block by the model)."""
     host, path = parts(F.col(url).cast("string"))
@@ -138,10 +155,7 @@ def judge(pages: DataFrame, rules: tuple = RULES, fit_rows: int = 5000, vocabula
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     src = src.withColumn("rule", rule).withColumn("decided", verdict)
     words = unigrams(vocabulary)
-    rows = []
-    for v in ("allow", "block"):
-        part = src.where(F.col("decided") == v).orderBy(F.xxhash64("host", "path"), "page_id").limit(fit_rows)
-        rows += [(r["host"], r["path"], v) for r in part.collect()]  # fit_rows at most
+    rows = sample(src, fit_rows)
     shared = pages.sparkSession.sparkContext.broadcast((words, train(rows, words)))
     schema = T.StructType([src.schema["page_id"], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")), T.StructField("score", T.DoubleType())])
 
