@@ -53,7 +53,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     last = None
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # written, so that both sides of the join are plain shuffles, which AQE can split at a hot node
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")), "low")
         large = (
             both.where("v > u")
             .join(low, "u")

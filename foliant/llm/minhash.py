@@ -170,7 +170,7 @@ def stars(buckets: DataFrame) -> DataFrame:
         F.min(F.col("node").bitwiseXOR(F.col("bk"))).alias("x"),
         F.count("*").alias("n"),
     ).where("n > 1").select("bk", F.array_distinct(F.array("a", F.col("x").bitwiseXOR(F.col("bk")))).alias("hubs"))
-    return buckets.join(hubs, "bk").select("bk", "node", F.explode("hubs").alias("hub")).where("node <> hub")
+    return buckets.join(written(hubs, "hubs"), "bk").select("bk", "node", F.explode("hubs").alias("hub")).where("node <> hub")
 
 
 def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int, doc_id: str, text: str) -> DataFrame:
@@ -187,7 +187,8 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     )
     one = written(one, "classes")
     rows_ = one.select("node", F.explode("bands").alias("bk"))
-    crowd = rows_.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1")
+    # written, so that both sides of the join are plain shuffles, which AQE can split at a hot key; likewise below
+    crowd = written(rows_.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
     crowded = written(rows_.join(crowd, "bk"), "crowded")
     pop = crowded.groupBy("node").agg(F.sum("n").alias("pop"))
     buckets = written(crowded.join(pop, "node").select("bk", "node", "pop"), "buckets")
