@@ -8,7 +8,7 @@ hash, and an empty bin borrows the value of a bin that a 2-universal hash of
 first, so copies cost one row. In a bucket of classes, edges form stars: one
 around its most popular class (the one whose buckets are largest) and one
 around a hub that differs from bucket to bucket. Members of different
-components that fit neither hub try again among themselves, until a round links
+components, linked or not, try again without the hubs, until a round links
 nothing. Every edge is confirmed on the full sets before it links.
 
 Scale: the shuffles move one short row per band and document, partial
@@ -197,27 +197,25 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
         src.join(who, src["doc_id"].eqNullSafe(who["rid"]) & (src["tk"] == who["rtk"])).select("node", "text").dropDuplicates(["node"]),
         "texts",
     )
-    links, first = None, True
+    links, comp = None, None
     while True:
         cand = stars(buckets)
-        if not first:
+        if comp is not None:
             cand = cand.join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hc")), "hub", "left").join(comp, "node", "left")
             cand = cand.where(F.coalesce("comp", "node") != F.coalesce("hc", "hub"))
-        cand = written(cand.select("bk", "node", "hub", F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")), "stars")
-        found = written(confirmed(cand.select("u", "v").distinct(), texts, words, num, den), "links")
-        links = found if first else links.unionByName(found)
-        if not first and found.isEmpty():
+        cand = written(cand.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "stars")
+        found = written(confirmed(cand, texts, words, num, den), "links")
+        last, links = links, found if links is None else links.unionByName(found)
+        if last is not None and found.isEmpty():
             break
-        # the hubs of a bucket and the members linked to one are done there
-        done = cand.join(found, ["u", "v"], "left_semi").select("bk", "node").unionByName(cand.select("bk", F.col("hub").alias("node"))).distinct()
-        left = buckets.join(done, ["bk", "node"], "left_anti")
-        if first:
-            comp = written(components(links), "components")
-            first = False
-        # and a bucket whose members are of one component already
+        comp = written(components(links), "components")
+        # only the hubs of a bucket have met all its members
+        hubs = written(stars(buckets).select("bk", F.col("hub").alias("node")).distinct(), "hubs")
+        left = buckets.join(hubs, ["bk", "node"], "left_anti")
+        # a bucket whose members are of one component is done
         left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         more = left.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
-        buckets = written(left.join(more, "bk").select("bk", "node", "pop"), "buckets")
+        buckets = written(left.join(written(more, "more"), "bk").select("bk", "node", "pop"), "buckets")
         if buckets.isEmpty():
             break
     comp = components(links)

@@ -80,5 +80,40 @@ def test_a_group_around_one_text(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def brute(rows, words, num, den):
+    """The smallest id that each id reaches, by all pairs."""
+    s = [set(x.tolist()) for x in sets([t for _, t in rows], words)]
+    low = {i: i for i, _ in rows}
+    while True:
+        last = dict(low)
+        for a in range(len(rows)):
+            for b in range(a):
+                both = len(s[a] & s[b])
+                if both and den * both >= num * (len(s[a]) + len(s[b]) - both):
+                    u, v = rows[a][0], rows[b][0]
+                    low[u] = low[v] = min(low[u], low[v])
+        if low == last:
+            return low
+
+
+def test_copies_of_copies(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(500)]
+    rows, texts = [], []
+    for i in range(150):
+        x = list(base)
+        for k in rng.sample(range(500), 4):
+            x[k] = f"a{i}_{k}"
+        texts.append(x)
+    for i in range(30):  # near enough to one copy, not to the base
+        x = list(texts[i])
+        for k in rng.sample(range(500), 13):
+            x[k] = f"b{i}_{k}"
+        texts.append(x)
+    rows = [(1000 - i, " ".join(x)) for i, x in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85, 100).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
 def test_sql(spark, sf, same):
     same(M.near_duplicates(read_table(spark, sf, "documents"), 3, 85, 100), M.SQL)
