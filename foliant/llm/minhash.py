@@ -7,9 +7,10 @@ hash, and an empty bin borrows the value of a bin that a 2-universal hash of
 `rows` bins make the keys of the bands. Documents with equal sets form a class
 first, so copies cost one row. In a bucket of classes, edges form stars: one
 around its most popular class (the one whose buckets are largest) and one
-around a hub that differs from bucket to bucket. Members of different
-components, linked or not, try again without the hubs, until a round links
-nothing. Every edge is confirmed on the full sets before it links.
+around a hub that differs from bucket to bucket. Classes of buckets that then
+still hold different components get finer keys, a prefix filter on their
+rarest shingles, and are compared until no key holds two components whose
+members have not met. Every edge is confirmed on the full sets before it links.
 
 Scale: the shuffles move one short row per band and document, partial
 aggregation collapses copies before any key is dealt out, and the joins on
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import components, written
 
-BINS, ROWS = 125, 5
+BINS, ROWS, SKETCH = 125, 5, 18
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, powers: K.Powers, words: int) -> Iterator[np.ndarray]:
@@ -173,6 +174,94 @@ def stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(written(hubs, "hubs"), "bk").select("bk", "node", F.explode("hubs").alias("hub")).where("node <> hub")
 
 
+def several(buckets: DataFrame) -> DataFrame:
+    """Buckets of two components or more, with their number of members; buckets: (bk, node, comp)."""
+    return buckets.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bk", "n")
+
+
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) of the texts (node, text)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = K.Powers()
+        for b in batches:
+            data, offs = K.buffers(b.column(1))
+            for i, j in K.segments(offs):
+                s = [x.view(np.int64) for x in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], powers, words)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in s])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(s)))], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(cut, "node bigint, shingles array<bigint>")
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Keys (node, size, bk) of which any two sets as similar as num / den share one: prefix filter, rarest shingles first.
+
+    Any order of shingles that all sets share is exact. This one is by counts
+    in 2**SKETCH slots of the hashes, a table of bounded size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << SKETCH, np.int64)
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().view(np.uint64)
+            seen += np.bincount((x >> np.uint64(64 - SKETCH)).astype(np.int64), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(1 << SKETCH, np.int64)
+    table[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, keys = [], [], []
+            for k, s in zip(b.column(0).to_numpy(), b.column(1), strict=True):
+                x = s.values.to_numpy().view(np.uint64)
+                x = x[np.lexsort((x, shared.value[(x >> np.uint64(64 - SKETCH)).astype(np.int64)]))][: len(x) - -(-len(x) * num // den) + 1]
+                node.append(np.full(len(x), k))
+                size.append(np.full(len(x), len(s)))
+                keys.append(K.mix(x ^ np.uint64(0x2545F4914F6CDD1D)).view(np.int64))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (node, size, keys)], ["node", "size", "bk"])
+
+    return sets.where(F.size("shingles") > 0).mapInArrow(cut, "node bigint, size bigint, bk bigint")
+
+
+def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links until no key (node, size, bk) is left with members of different components that have not met.
+
+    Each round compares some members of a bucket, four times as many as the
+    round before, with all members of other components; these leave the
+    bucket. At the latest when all its members have been chosen it is done,
+    so the rounds grow with the logarithm of the largest bucket. Pairs in
+    tested have met already.
+    """
+    alone = written(keys, "keys")
+    buckets = alone.join(written(alone.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd").select("bk"), "bk")
+    buckets = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    links, hubs = tested.limit(0), 2
+    while True:
+        buckets = written(buckets, "buckets")
+        chosen = F.pmod(F.xxhash64("node", "bk"), F.col("n")) < hubs
+        buckets = written(buckets.join(written(several(buckets), "several"), "bk").withColumn("hub", chosen).drop("n"), "buckets")
+        if buckets.isEmpty():
+            return links
+        hub = written(buckets.where("hub").select("bk", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("size").alias("hs")), "hubs")
+        pairs = buckets.join(hub, "bk").where(f"comp <> hc AND {den} * least(size, hs) >= {num} * greatest(size, hs)")
+        pairs = pairs.select(F.least("node", "h").alias("u"), F.greatest("node", "h").alias("v"), F.least("comp", "hc").alias("cu"), F.greatest("comp", "hc").alias("cv")).distinct()
+        pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        found = written(confirmed(pairs, texts, words, num, den), "links")
+        buckets = buckets.where("NOT hub").select("bk", "node", "size", "comp")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            joined = written(components(pairs.join(found, ["u", "v"], "left_semi"), "cu", "cv").withColumnRenamed("comp", "to").withColumnRenamed("node", "comp"), "joined")
+            buckets = buckets.join(joined, "comp", "left").select("bk", "node", "size", F.coalesce("to", "comp").alias("comp"))
+        tested = tested.unionByName(pairs.select("u", "v"))
+        hubs *= 4
+
+
 def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int, doc_id: str, text: str) -> DataFrame:
     """near_duplicates() with tk, a hash of the text."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
@@ -197,27 +286,14 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
         src.join(who, src["doc_id"].eqNullSafe(who["rid"]) & (src["tk"] == who["rtk"])).select("node", "text").dropDuplicates(["node"]),
         "texts",
     )
-    links, comp = None, None
-    while True:
-        cand = stars(buckets)
-        if comp is not None:
-            cand = cand.join(comp.select(F.col("node").alias("hub"), F.col("comp").alias("hc")), "hub", "left").join(comp, "node", "left")
-            cand = cand.where(F.coalesce("comp", "node") != F.coalesce("hc", "hub"))
-        cand = written(cand.select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "stars")
-        found = written(confirmed(cand, texts, words, num, den), "links")
-        last, links = links, found if links is None else links.unionByName(found)
-        if last is not None and found.isEmpty():
-            break
-        comp = written(components(links), "components")
-        # only the hubs of a bucket have met all its members
-        hubs = written(stars(buckets).select("bk", F.col("hub").alias("node")).distinct(), "hubs")
-        left = buckets.join(hubs, ["bk", "node"], "left_anti")
-        # a bucket whose members are of one component is done
-        left = left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        more = left.groupBy("bk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bk")
-        buckets = written(left.join(written(more, "more"), "bk").select("bk", "node", "pop"), "buckets")
-        if buckets.isEmpty():
-            break
+    cand = written(stars(buckets).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "stars")
+    links = written(confirmed(cand, texts, words, num, den), "links")
+    comp = written(components(links), "components")
+    # what is of different components in a bucket is compared to the end, by keys that meet less by chance
+    left = buckets.select("bk", "node").join(written(several(buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "several").select("bk"), "bk")
+    again = written(texts.join(left.select("node").distinct(), "node", "left_semi"), "again")
+    keys = prefixes(written(full_sets(again, words), "sets"), num, den)
+    links = links.unionByName(rest(keys, comp, cand, texts, words, num, den))
     comp = components(links)
     ids = reps.groupBy("node").agg(F.min("rep").alias("rep"))
     label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

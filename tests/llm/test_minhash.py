@@ -115,5 +115,15 @@ def test_copies_of_copies(spark):
     assert got == brute(rows, 3, 85, 100)
 
 
+def test_crowded_bucket(spark):
+    """All texts in one bucket, few of them near each other."""
+    one = [f"p{i} q r" for i in range(40_000)]
+    head = one[int(np.argmin([x[0] for x in sets(one, 3)]))]
+    rows = [(i, f"{head} " + " ".join(f"a{i}_{k}" for k in range(80))) for i in range(120)]
+    rows += [(200 + i, rows[i][1].replace(f"a{i}_70", "other")) for i in range(0, 120, 12)]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85, 100, bins=1, rows=1).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
 def test_sql(spark, sf, same):
     same(M.near_duplicates(read_table(spark, sf, "documents"), 3, 85, 100), M.SQL)
