@@ -4,7 +4,9 @@ A document's set holds the 64-bit hashes of its distinct word shingles. One
 permutation cuts the hash range into `bins`; a bin's value is its smallest
 hash, and an empty bin borrows the value of a bin that a 2-universal hash of
 (bin, attempt) names, attempt after attempt, until it meets a full one. Runs of
-`rows` bins make the keys of the bands. Documents with equal sets form a class
+`rows` bins make the keys of the bands. A set of at most `bins` shingles fills
+too few bins for independent bands: it, and all sets that may be near to it,
+have the keys of an exact prefix filter instead. Documents with equal sets form a class
 first, so copies cost one row. In a bucket of classes, edges form stars: one
 around its most popular class (the one whose buckets are largest) and one
 around a hub that differs from bucket to bucket. Classes of buckets that then
@@ -99,10 +101,12 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-SIGNATURES = "doc_id bigint, tk bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>"
+SIGNATURES = "doc_id bigint, tk bigint, n_shingles bigint, node bigint, node2 bigint, bands array<bigint>, shingles array<bigint>"
 
 
-def signatures(docs: DataFrame, words: int, bins: int, rows: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int) -> DataFrame:
+    """Bands of sets of more than `bins` shingles, and the sets of those which may be near to one of no more."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, ask = K.Powers(), donors(bins)
         edges = np.array([(i << 64) // bins for i in range(bins)], np.uint64)
@@ -111,22 +115,26 @@ def signatures(docs: DataFrame, words: int, bins: int, rows: int) -> DataFrame:
         tag = K.mix(np.arange(1, n_bands + 1, dtype=np.uint64))
         for b in batches:
             data, offs = K.buffers(b.column(2))
-            n, keys, bands, ends = [], [], [], [0]
+            n, keys, bands, ends, small, stops = [], [], [], [0], [], [0]
             for i, j in K.segments(offs):
                 for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], powers, words):
                     n.append(len(s))
                     keys.append(set_key(s))
-                    if len(s):
+                    if len(s) > bins:
                         g = signature(s, edges, ask)[: n_bands * rows].reshape(n_bands, rows)
                         x = tag.copy()
                         for c in range(rows):
                             x = K.mix(x + g[:, c])
                         bands.append(x.view(np.int64))
-                    ends.append(ends[-1] + n_bands * bool(len(s)))
-            flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+                    ends.append(ends[-1] + n_bands * (len(s) > bins))
+                    if num * len(s) <= den * bins:
+                        small.append(s.view(np.int64))
+                    stops.append(stops[-1] + len(s) * (num * len(s) <= den * bins))
+            flat = np.concatenate([np.zeros(0, np.int64), *bands])
+            sets = np.concatenate([np.zeros(0, np.int64), *small])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["doc_id", "tk", "n_shingles", "node", "node2", "bands"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(sets))],
+                ["doc_id", "tk", "n_shingles", "node", "node2", "bands", "shingles"],
             )
 
     return docs.mapInArrow(sign, SIGNATURES)
@@ -226,7 +234,7 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (node, size, keys)], ["node", "size", "bk"])
 
-    return sets.where(F.size("shingles") > 0).mapInArrow(cut, "node bigint, size bigint, bk bigint")
+    return sets.where(F.size("shingles") > 0).select("node", "shingles").mapInArrow(cut, "node bigint, size bigint, bk bigint")
 
 
 def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -265,17 +273,18 @@ def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame,
 def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int, doc_id: str, text: str) -> DataFrame:
     """near_duplicates() with tk, a hash of the text."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
-    sig = written(signatures(src, words, bins, rows), "signatures")
+    sig = written(signatures(src, words, num, den, bins, rows), "signatures")
     some = sig.where("n_shingles > 0")
     reps = some.groupBy("node", "node2").agg(F.min("doc_id").alias("rep"))
     one = (
         some.join(reps, ["node", "node2"])
         .where("doc_id <=> rep")
         .dropDuplicates(["node", "node2"])
-        .select("node", "doc_id", "tk", "bands")
+        .select("node", "doc_id", "tk", "bands", "shingles")
     )
     one = written(one, "classes")
-    rows_ = one.select("node", F.explode("bands").alias("bk"))
+    # small sets fill too few bins for bands; their prefixes are exact
+    rows_ = written(one.select("node", F.explode("bands").alias("bk")).unionByName(prefixes(one, num, den).select("node", "bk")), "keys")
     # written, so that both sides of the join are plain shuffles, which AQE can split at a hot key; likewise below
     crowd = written(rows_.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
     crowded = written(rows_.join(crowd, "bk"), "crowded")
@@ -292,8 +301,9 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     # what is of different components in a bucket is compared to the end, by keys that meet less by chance
     left = buckets.select("bk", "node").join(written(several(buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "several").select("bk"), "bk")
     again = written(texts.join(left.select("node").distinct(), "node", "left_semi"), "again")
-    keys = prefixes(written(full_sets(again, words), "sets"), num, den)
-    links = links.unionByName(rest(keys, comp, cand, texts, words, num, den))
+    if not again.isEmpty():
+        keys = prefixes(written(full_sets(again, words), "sets"), num, den)
+        links = links.unionByName(rest(keys, comp, cand, texts, words, num, den))
     comp = components(links)
     ids = reps.groupBy("node").agg(F.min("rep").alias("rep"))
     label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

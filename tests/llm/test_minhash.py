@@ -125,5 +125,15 @@ def test_crowded_bucket(spark):
     assert got == brute(rows, 3, 85, 100)
 
 
+def test_short_texts(spark):
+    rows = []
+    for i in range(150):
+        n = (9, 14, 24)[i % 3]  # 5, 10 and 20 shingles, of which 4, 8 and 16 are common
+        x = [f"t{i}_{k}" for k in range(n)]
+        rows += [(2 * i, " ".join(x)), (2 * i + 1, " ".join(x[: n - (n - 4) // 5]))]
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_sql(spark, sf, same):
     same(M.near_duplicates(read_table(spark, sf, "documents"), 3, 85, 100), M.SQL)
