@@ -271,7 +271,7 @@ def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame,
 
 
 def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: int, doc_id: str, text: str) -> DataFrame:
-    """near_duplicates() with tk, a hash of the text."""
+    """near_duplicates() with tk, a hash of the text, and comp, a number of the group, null for an empty set."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
     sig = written(signatures(src, words, num, den, bins, rows), "signatures")
     some = sig.where("n_shingles > 0")
@@ -308,10 +308,11 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     ids = reps.groupBy("node").agg(F.min("rep").alias("rep"))
     label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = written(label.join(low, "comp").select("node", "component_id"), "components")
+    named = written(label.join(low, "comp").select("node", "component_id", F.col("comp").alias("group")), "components")
     # the empty set is linked with nothing
     out = sig.join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "tk", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return out.select("doc_id", "tk", F.when(F.col("n_shingles") > 0, F.col("group")).alias("comp"), "n_shingles", "component_id", kept)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,17 +321,31 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Links documents whose sets of shingles of so many words have a Jaccard
     similarity of num / den or more.
     """
-    return grouped(docs, words, num, den, bins, rows, doc_id, text).drop("tk")
+    return grouped(docs, words, num, den, bins, rows, doc_id, text).drop("tk", "comp")
 
 
 def distinct(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all their columns, of which each group of near-duplicates keeps the one with the smallest id.
+    """The documents, all their columns, of which each group of near-duplicates keeps exactly one row.
 
-    Rows without an id stay only where no member of their group has one.
+    It is the one with the smallest id, null ids last, then with the smallest
+    hash of its text; of rows equal in both, any one. Rows of an empty set
+    are in no group and stay.
     """
     found = grouped(docs, words, num, den, bins, rows, doc_id, text)
-    stay = found.where("kept OR (doc_id IS NULL AND component_id IS NULL)").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).distinct()
-    return docs.join(stay, docs[doc_id].cast("bigint").eqNullSafe(stay["_id"]) & F.xxhash64(docs[text]).eqNullSafe(stay["_tk"]), "left_semi")
+    alike = found.where("comp IS NOT NULL").groupBy("comp", "doc_id", "tk").agg(F.count("*").alias("n"))
+    one = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "n")).alias("one"))
+    one = one.select(F.col("one.doc_id").alias("_id"), F.col("one.tk").alias("_tk"), (F.col("one.n") > 1).alias("_many"))
+    blank = found.where("comp IS NULL").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.lit(False).alias("_many")).distinct()
+    stay = written(one.unionByName(blank), "stay")
+    key, tk = docs[doc_id].cast("bigint"), F.xxhash64(docs[text])
+    single, many = stay.where("NOT _many"), stay.where("_many")
+    out = docs.join(single, key.eqNullSafe(single["_id"]) & tk.eqNullSafe(single["_tk"]), "left_semi")
+    if many.isEmpty():
+        return out
+    # the row as one value, so that no column's name meets ours
+    again = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias("id"), tk.alias("tk"))
+    again = again.join(many, again["id"].eqNullSafe(many["_id"]) & again["tk"].eqNullSafe(many["_tk"]), "left_semi")
+    return out.unionByName(again.groupBy("id", "tk").agg(F.first("row").alias("row")).select("row.*"))
 
 
 #: The same rows in DuckDB over the view documents: all pairs that share a shingle, exact.

@@ -135,5 +135,15 @@ def test_short_texts(spark):
     assert got == {i: i - i % 2 for i in range(300)}
 
 
+def test_one_row_of_each_group_stays(spark):
+    near = BASE.replace("w30", "other")
+    rows = [(1, BASE, "a"), (1, BASE, "b"), (1, near, "c"), (2, BASE, "d")]
+    rows += [(None, BASE.replace("w", "v"), "e"), (None, BASE.replace("w", "v"), "f"), (None, near.replace("w", "v"), "g"), (5, "", "h"), (5, "", "i")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _id string")
+    kept = M.distinct(d, 3, 85, 100)
+    assert kept.columns == d.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "5", "5", "None"]
+
+
 def test_sql(spark, sf, same):
     same(M.near_duplicates(read_table(spark, sf, "documents"), 3, 85, 100), M.SQL)
