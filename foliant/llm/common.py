@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, and of a batch of the Parquet reader, while a table is written: whole texts stand in them.
+ROWS = 1000
+
+
 def work_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is named (tests, one machine)."""
+    """The cluster's shared folder; where none is named (tests, one machine), a folder of the warehouse, which executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/foliant-work"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -33,11 +38,26 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside hands rows on in batches of at most so many, so that a batch of whole texts stays small."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, str(rows))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def written(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    with batches_of(spark, rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,7 +82,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -6,7 +6,8 @@ of positions. search() holds a stated set of phrases against each stored
 segment: the phrases whose terms all occur start from their rarest term, the
 offset-adjusted lists of the next rarer terms are intersected with it one by
 one, and what remains are exact phrase matches. proximity() lets each term
-stand up to `slop` words off its place.
+behind the first stand up to `slop` words off its place. A match lies within
+one document.
 
 Scale: documents stay where they are (an index sharded by document needs no
 shuffle), one row of the index holds at most kernels.SEGMENT bytes of text or
@@ -33,6 +34,8 @@ from . import kernels as K
 from .common import written
 
 INDEX = "seg string, doc_id array<bigint>, n_words array<int>, terms binary, ends binary, positions binary"
+#: Rows of the index that are in hand at once.
+SEGMENTS = 8
 MATCHES = "seg string, ord int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 
 
@@ -72,7 +75,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def phrases(texts: list[tuple[str | None, str | None]], window: int) -> dict | None:
-    """The windows of some items: term numbers by offset (-1 behind a short one), sorted terms, item of each window."""
+    """The distinct windows of some items: term numbers by offset (-1 behind a short one), sorted terms, the items of each window."""
     data, offs = K.buffers(pa.array([t for _, t in texts], pa.string()))
     row, h = _words(data, offs, K.Powers())
     n = np.bincount(row, minlength=len(texts))
@@ -86,14 +89,21 @@ def phrases(texts: list[tuple[str | None, str | None]], window: int) -> dict | N
     terms, num = np.unique(h, return_inverse=True)
     at = np.arange(window)
     grid = np.where(at < here[item][:, None], num[np.minimum(start[:, None] + at, len(h) - 1)], -1).astype(np.int32)
-    return {"terms": terms, "grid": grid, "item": item, "ids": [i for i, _ in texts]}
+    grid, same = np.unique(grid, axis=0, return_inverse=True)
+    owner = np.unique(np.stack([same.ravel(), item], 1), axis=0)
+    ids = [i for i, _ in texts]
+    return {"terms": terms, "grid": grid, "item": owner[:, 1], "ends": np.searchsorted(owner[:, 0], np.arange(len(grid) + 1)), "ids": ids}
 
 
-def intersect(q: dict, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, slop: int = 0, at_once: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(window, first position) of every match in one segment of the index."""
-    none = np.zeros(0, np.int64)
+def intersect(q: dict, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray, n_words: np.ndarray, slop: int = 0, at_once: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(windows, first positions) of the matches in one segment of the index, a bounded part at a time.
+
+    A match lies within one document: its first term stands at the position,
+    each other term at most slop words off its place behind it.
+    """
     if not len(terms):
-        return none, none
+        return
+    stop = np.cumsum(n_words)
     slot = np.minimum(np.searchsorted(terms, q["terms"]), len(terms) - 1)
     slot = np.where(terms[slot] == q["terms"], slot, -1)
     begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -103,38 +113,52 @@ def intersect(q: dict, terms: np.ndarray, ends: np.ndarray, positions: np.ndarra
     length = np.where(q["grid"] >= 0, df[q["grid"]], wide)
     alive = np.flatnonzero((length > 0).all(axis=1))
     if not len(alive):
-        return none, none
+        return
     grid, length = q["grid"][alive], length[alive]
     rare = np.argsort(length, axis=1, kind="stable")
     n_terms = (grid >= 0).sum(axis=1)
     # one sorted array of (term, position): every posting list, end to end
     lists = (np.repeat(np.arange(len(terms), dtype=np.uint64), size) << np.uint64(32)) | positions.astype(np.uint64)
-    total, found = np.cumsum(length[np.arange(len(alive)), rare[:, 0]]), ([], [])
-    w0 = 0
-    while w0 < len(alive):
-        base = total[w0 - 1] if w0 else 0
-        w1 = max(w0 + 1, int(np.searchsorted(total, base + at_once, "right")))
-        pick = np.arange(w0, w1)
-        term = slot[grid[pick, rare[pick, 0]]]
-        w = np.repeat(pick, size[term])
-        run = np.arange(len(w)) - np.repeat(np.cumsum(size[term]) - size[term], size[term])
-        p = positions[np.repeat(begin[term], size[term]) + run].astype(np.int64) - rare[w, 0]
-        for k in range(1, grid.shape[1]):
+
+    def near(t: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether term t stands somewhere from low to high."""
+        want = (t.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
+        at = np.minimum(np.searchsorted(lists, want), len(lists) - 1)
+        return (high >= low) & (lists[at] >= want) & (lists[at] <= want + np.maximum(high - low, 0).astype(np.uint64))
+
+    # the windows' rarest lists end to end, cut into parts wherever a part is full
+    most = length[np.arange(len(alive)), rare[:, 0]]
+    total = np.cumsum(most)
+    for i in range(0, int(total[-1]), at_once):
+        k = np.arange(i, min(i + at_once, int(total[-1])))
+        w = np.searchsorted(total, k, "right")
+        r = positions[begin[slot[grid[w, rare[w, 0]]]] + k - (total[w] - most[w])].astype(np.int64)
+        d = np.searchsorted(stop, r, "right")
+        lo, hi = stop[d] - n_words[d], stop[d] - 1
+        p = r - rare[w, 0]
+        if slop:  # the rarest term may stand off its place: every place of the first term about it
+            shift = np.where(rare[w, 0] > 0, slop, 0)
+            copies = 2 * shift + 1
+            p = np.repeat(p - shift, copies) + np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            w, lo, hi = np.repeat(w, copies), np.repeat(lo, copies), np.repeat(hi, copies)
+        ok = (p >= lo) & (p <= hi)
+        w, p, lo, hi = w[ok], p[ok], lo[ok], hi[ok]
+        if slop:
+            ok = near(slot[grid[w, 0]], p, p)
+            w, p, lo, hi = w[ok], p[ok], lo[ok], hi[ok]
+            if len(w):
+                _, one = np.unique((w << 32) | p, return_index=True)
+                w, p, lo, hi = w[one], p[one], lo[one], hi[one]
+        for j in range(0 if slop else 1, grid.shape[1]):
             if not len(w):
                 break
-            off = rare[w, k]
-            more = k < n_terms[w]
-            t = np.where(more, slot[grid[w, off]], 0)
-            low = np.maximum(p + off - slop, 0)
-            want = (t.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)
-            at = np.minimum(np.searchsorted(lists, want), len(lists) - 1)
-            hit = (lists[at] >= want) & (lists[at] <= want + (np.maximum(p + off + slop, 0) - low).astype(np.uint64)) & (p + off + slop >= 0)
-            keep = ~more | hit
-            w, p = w[keep], p[keep]
-        found[0].append(alive[w])
-        found[1].append(p)
-        w0 = w1
-    return np.concatenate(found[0]), np.concatenate(found[1])
+            off = rare[w, j]
+            more = j < n_terms[w]
+            shift = np.where(off > 0, slop, 0)
+            ok = ~more | near(np.where(more, slot[grid[w, off]], 0), np.maximum(p + off - shift, lo), np.minimum(p + off + shift, hi))
+            w, p, lo, hi = w[ok], p[ok], lo[ok], hi[ok]
+        if len(w):
+            yield alive[w], p
 
 
 def _matched(index: DataFrame, q: dict | None, slop: int) -> DataFrame:
@@ -145,40 +169,38 @@ def _matched(index: DataFrame, q: dict | None, slop: int) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 seg, ids, n = b.column(0)[r].as_py(), b.column(1)[r].values, np.asarray(b.column(2)[r].values, dtype=np.int64)
-                first = np.cumsum(n) - n
-                per_doc: dict[int, tuple[np.ndarray, list[str]]] = {}
+                first, stop = np.cumsum(n) - n, np.cumsum(n)
+                spans: list = [[]] * len(n)
+                items: list = [[]] * len(n)
                 if q is not None and n.sum():
                     terms, ends, pos = (np.frombuffer(b.column(c)[r].as_buffer(), dtype=t) for c, t in ((3, np.uint64), (4, np.uint32), (5, np.uint32)))
-                    w, p = intersect(q, terms, ends, pos, slop)
-                    size = (q["grid"][w] >= 0).sum(axis=1)
-                    # by the middle of a shifted match; an exact one lies within one document from end to end
-                    d = np.searchsorted(first, np.clip(p, 0, n.sum() - 1), "right") - 1
-                    inside = (p >= first[d]) & (p + size <= first[d] + n[d])
-                    if slop:
-                        inside |= (p > first[d] - size) & (p < first[d] + n[d])
-                    w, p, size, d = w[inside], p[inside], size[inside], d[inside]
-                    for doc in np.unique(d):
-                        own = d == doc
-                        step = np.zeros(n[doc] + 1, np.int64)
-                        np.add.at(step, np.clip(p[own] - first[doc], 0, n[doc]), 1)
-                        np.add.at(step, np.clip(p[own] + size[own] - first[doc], 0, n[doc]), -1)
-                        edge = np.diff(np.concatenate([[0], (np.cumsum(step[:-1]) > 0).astype(np.int8), [0]]))
-                        spans = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel()
-                        items = {q["ids"][i] for i in np.unique(q["item"][w[own]])} - {None}
-                        per_doc[int(doc)] = spans, sorted(items)
+                    # matches become marks of words and pairs (document, window) at once: neither grows with their number
+                    step, pairs = np.zeros(n.sum() + 1, np.int64), np.zeros(0, np.int64)
+                    for w, p in intersect(q, terms, ends, pos, n, slop):
+                        d = np.searchsorted(stop, p, "right")
+                        step += np.bincount(p, minlength=len(step)) - np.bincount(np.minimum(p + (q["grid"][w] >= 0).sum(axis=1), stop[d]), minlength=len(step))
+                        pairs = np.union1d(pairs, d * len(q["grid"]) + w)
+                    hit = np.cumsum(step[:-1]) > 0
+                    for d in np.unique(pairs // len(q["grid"])):
+                        edge = np.diff(np.concatenate([[0], hit[first[d] : stop[d]].astype(np.int8), [0]]))
+                        spans[d] = np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).ravel()
+                        wins = pairs[np.searchsorted(pairs, d * len(q["grid"])) : np.searchsorted(pairs, (d + 1) * len(q["grid"]))] - d * len(q["grid"])
+                        own = {q["ids"][i] for a, z in zip(q["ends"][wins], q["ends"][wins + 1], strict=True) for i in q["item"][a:z]}
+                        items[d] = sorted(own - {None})
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([seg] * len(n), pa.string()),
                         pa.array(np.arange(len(n), dtype=np.int32)),
                         ids,
                         pa.array(n),
-                        pa.array([per_doc[i][0] if i in per_doc else [] for i in range(len(n))], pa.list_(pa.int32())),
-                        pa.array([per_doc[i][1] if i in per_doc else [] for i in range(len(n))], pa.list_(pa.string())),
+                        pa.array(spans, pa.list_(pa.int32())),
+                        pa.array(items, pa.list_(pa.string())),
                     ],
                     ["seg", "ord", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return index.mapInArrow(rows, MATCHES)
+    # a row of the index is a whole segment
+    return written(index.mapInArrow(rows, MATCHES), "matches", SEGMENTS)
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, block: int = 4_000_000) -> DataFrame:
@@ -210,7 +232,7 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0,
 
 
 def proximity(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 3, block: int = 4_000_000) -> DataFrame:
-    """Like search(), for phrases each of whose terms may stand up to slop words off its place."""
+    """Like search(), for phrases each of whose terms behind the first may stand up to slop words off its place."""
     return search(index, items, window, slop, block)
 
 
@@ -243,9 +265,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: in
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
-    """The documents that are not contaminated, all their columns; the verdict is the text's, whatever the id."""
+    """The documents, all their columns, of which phrases cover neither `window` words in a row nor one of `share` words.
+
+    So a whole window taken from an item condemns a text of any length, a
+    shorter item only a text of which it is much. The verdict is the text's,
+    whatever the id.
+    """
     key = F.xxhash64(docs["text"])
-    bad = contamination(docs.select(key.alias("doc_id"), "text"), items, window, share).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    found = search(build_index(docs.select(key.alias("doc_id"), "text")), items, window)
+    pairs = F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1)
+    run = (F.size("spans") > 0) & F.exists(pairs, lambda i: F.get("spans", i * 2 + 1) - F.get("spans", i * 2) >= window)
+    n = covered(F.col("spans"))
+    bad = found.where(run | ((n > 0) & (share * n >= F.col("n_words")))).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, key == bad["_bad"], "left_anti")
 
 

@@ -78,7 +78,47 @@ def test_clean_keeps_columns(spark):
     d, b = tables(spark, DOCS, ITEMS)
     got = D.clean(d, b)
     assert got.columns == d.columns
-    assert sorted(r.doc_id for r in got.collect()) == [2, 3, 4, 8, 9]
+    # 8 holds a whole item among many other words; 9 not a whole window
+    assert sorted(r.doc_id for r in got.collect()) == [2, 3, 4, 9]
+
+
+def test_clean_long_text_and_short_item(spark):
+    d, b = tables(spark, [(1, "noise " * 30_000 + ITEM), (2, "noise " * 100 + "kurz"), (3, "noise " * 10 + "kurz")], [(1, ITEM), (2, "kurz")])
+    assert [r.doc_id for r in D.clean(d, b).collect()] == [2]
+
+
+def test_matches_stay_within_documents(spark):
+    d, b = tables(spark, [(1, "alpha beta"), (2, "gamma delta"), (3, "alpha gap beta gamma delta")], [(1, "alpha beta gamma delta")])
+    index = D.build_index(d.coalesce(1))
+    for slop in (1, 2, 5):
+        assert {r.doc_id for r in D.proximity(index, b, slop=slop).collect() if r["items"]} == {3}
+
+
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_brute(spark, slop):
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    docs = [(i, text(rng.randrange(25))) for i in range(40)]
+    items = [(i, text(rng.randrange(2, 6))) for i in range(8)]
+
+    def hits(w, q):
+        n = min(len(q), 4)
+        for k in range(len(q) - n + 1):
+            for a in range(len(w)):
+                if w[a] == q[k] and all(q[k + j] in w[max(a + j - slop, 0) : a + j + slop + 1] for j in range(1, n)):
+                    return True
+        return False
+
+    d, b = tables(spark, docs, items)
+    got = {(r.doc_id, i) for r in D.proximity(D.build_index(d), b, window=4, slop=slop).collect() for i in r["items"]}
+    assert got == {(i, str(k)) for i, t in docs for k, s in items if hits(words(t), words(s))}
+
+
+def test_frequent_pair(spark):
+    """Windows of one common pair against a text of nothing else: work stays in bounded parts."""
+    d, b = tables(spark, [(1, "a b " * 20_000)], [(i, "a b " * 40) for i in range(30)])
+    r = D.contamination(d, b).first()
+    assert (r.n_words, r.n_hit, r.n_items) == (40_000, 40_000, 30)
 
 
 def test_sql(spark, sf, same):
