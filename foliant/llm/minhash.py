@@ -275,13 +275,9 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
     sig = written(signatures(src, words, num, den, bins, rows), "signatures")
     some = sig.where("n_shingles > 0")
-    reps = some.groupBy("node", "node2").agg(F.min("doc_id").alias("rep"))
-    one = (
-        some.join(reps, ["node", "node2"])
-        .where("doc_id <=> rep")
-        .dropDuplicates(["node", "node2"])
-        .select("node", "doc_id", "tk", "bands", "shingles")
-    )
+    # the row of the smallest id stands for its class; copies fall together before the shuffle
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "bands", "shingles")).alias("r")
+    one = some.groupBy("node", "node2").agg(first).select("node", "r.doc_id", "r.tk", "r.bands", "r.shingles")
     one = written(one, "classes")
     # small sets fill too few bins for bands; their prefixes are exact
     rows_ = written(one.select("node", F.explode("bands").alias("bk")).unionByName(prefixes(one, num, den).select("node", "bk")), "keys")
@@ -305,7 +301,7 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
         keys = prefixes(written(full_sets(again, words), "sets"), num, den)
         links = links.unionByName(rest(keys, comp, cand, texts, words, num, den))
     comp = components(links)
-    ids = reps.groupBy("node").agg(F.min("rep").alias("rep"))
+    ids = one.groupBy("node").agg(F.min("doc_id").alias("rep"))
     label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     low = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = written(label.join(low, "comp").select("node", "component_id", F.col("comp").alias("group")), "components")
