@@ -4,7 +4,7 @@ read_arc() parses ARC files: the version block at a file's start (and wherever
 another begins) names the version, the version gives the fields of each URL
 record's header line, and the declared length gives the record's bytes, never a
 search for a separator. to_warc() writes each record as a WARC record with a
-version 8 UUID, an ISO timestamp, a type and SHA-1 digests; of records with
+version 8 UUID made of its place, an ISO timestamp, a type and SHA-1 digests; of records with
 equal payloads of `least` bytes or more, the one with the largest page id is
 the response, the others are revisits of it. read_warc() parses WARC files.
 write_arc() makes ARC files of a table of pages, so that the round trip can be
@@ -22,7 +22,9 @@ a payload that a third of all pages share costs one row for each task.
 Edge cases: a null html is an empty payload, a null url is urn:page:<id>, white
 space and controls in a url are percent-encoded; rows of one page_id each get a
 record; among equal payloads all rows with the largest id are responses; a null
-page_id is smaller than any other. An empty table gives no records.
+page_id is smaller than any other, and of records without any, one is the
+response. A malformed ARC record ends its file: read_arc() names the fault, the
+records before it are converted. An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import work_path, written
+from .common import batches_of, work_path, written
 
 ARC_FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -46,6 +48,8 @@ ARC_FIELDS = {
 #: Records after which the ARC writer begins a new version block, of the other version.
 BLOCK = 500
 DATE = "20200101000000"
+#: Files that are in hand at once.
+FILES = 4
 
 
 def version_block(version: int, name: str) -> bytes:
@@ -110,6 +114,17 @@ def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     return head + sep, {k.decode("latin-1").strip().lower(): v.decode("latin-1").strip() for k, _, v in fields}, payload
 
 
+def page_of(http: dict[str, str]) -> int | None:
+    """The page id that a head names, if any."""
+    p = http.get("x-page-id", "")
+    return int(p) if re.fullmatch("-?[0-9]{1,19}", p) and -(2**63) < int(p) < 2**63 else None
+
+
+def record_at(page: int | None, path: str, at: int) -> str:
+    """The identifier of the record made of what stands at a place of an ARC file."""
+    return record_id(page, f"{path}:{at}".encode())
+
+
 def record_id(page: int | None, salt: bytes) -> str:
     """A UUID of version 8 that holds the page id in its first 48, next 12 and next 4 free bits, and a hash."""
     page = -(2**63) if page is None else page
@@ -142,27 +157,26 @@ def warc_record(kind: str, uuid: str, fields: list[tuple[str, str]], block: byte
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogateescape") + b"\r\n" + block
 
 
-def convert(header: dict, block: bytes, name: str, refers_to: int | None | bool) -> bytes:
-    """The WARC record of one ARC record; refers_to: the page whose response it repeats, else False."""
+def convert(header: dict, block: bytes, path: str, refers_to: str | None) -> bytes:
+    """The WARC record of one ARC record; refers_to: the identifier of the response that it repeats, if any."""
     head, http, payload = split_http(block)
-    page = int(p) if (p := http.get("x-page-id", "")) else None
-    digest = hashlib.sha1(payload).digest()
     fields = [
         ("WARC-Target-URI", header["url"]),
         ("WARC-Date", iso(header["date"])),
         ("WARC-IP-Address", header["ip"]),
-        ("WARC-Payload-Digest", base32(digest)),
-        ("Content-Type", "application/http; msgtype=response"),
+        ("WARC-Payload-Digest", base32(hashlib.sha1(payload).digest())),
+        ("Content-Type", "application/http; msgtype=response" if head else header["mime"]),
     ]
-    salt = f"{name}:{header['at']}".encode()
-    if refers_to is False:
-        return warc_record("response", record_id(page, salt), [*fields, ("WARC-Block-Digest", base32(hashlib.sha1(block).digest()))], block)
+    own = record_at(page_of(http), path, header["at"])
+    if refers_to is None:
+        # what is no HTTP message is a resource
+        return warc_record("response" if head else "resource", own, [*fields, ("WARC-Block-Digest", base32(hashlib.sha1(block).digest()))], block)
     fields += [
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-        ("WARC-Refers-To", f"<{record_id(refers_to, digest)}>"),
+        ("WARC-Refers-To", f"<{refers_to}>"),
         ("WARC-Block-Digest", base32(hashlib.sha1(head).digest())),
     ]
-    return warc_record("revisit", record_id(page, salt), fields, head)
+    return warc_record("revisit", own, fields, head)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -228,47 +242,66 @@ def write_arc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     _store(cols.mapInArrow(rows, "record binary"), path, "\n")
 
 
-ARC_ROWS = "path string, at bigint, url string, date string, page_id bigint, payload_bytes bigint, digest binary"
+ARC_ROWS = "path string, at bigint, url string, date string, page_id bigint, payload_bytes bigint, digest binary, error string"
+
+
+def readable(data: bytes) -> Iterator[tuple[dict | None, bytes, str | None]]:
+    """(header fields, block, None) of every record up to the first that is malformed, which is (None, b"", what is wrong)."""
+    try:
+        for h, block in parse_arc(data):
+            yield h, block, None
+    except ValueError as x:
+        yield None, b"", str(x)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, without its payload."""
+    """One row per record, without its payload; where a file is malformed, one last row of it with `error`."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 name, out = b.column(0)[i].as_py(), []
-                for h, block in parse_arc(unpacked(b.column(1)[i].as_py())):
+                for h, block, error in readable(unpacked(b.column(1)[i].as_py())):
+                    if h is None:
+                        out.append((name, None, None, None, None, None, None, error))
+                        continue
                     _, http, payload = split_http(block)
-                    page = int(p) if (p := http.get("x-page-id", "")) else None
-                    out.append((name, h["at"], h["url"], h["date"], page, len(payload), hashlib.sha1(payload).digest()))
-                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["path", "at", "url", "date", "page_id", "payload_bytes", "digest"])
+                    out.append((name, h["at"], h["url"], h["date"], page_of(http), len(payload), hashlib.sha1(payload).digest(), None))
+                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["path", "at", "url", "date", "page_id", "payload_bytes", "digest", "error"])
 
     return _files(spark, path).mapInArrow(rows, ARC_ROWS)
 
 
 def revisits(records: DataFrame, least: int = 1000) -> DataFrame:
-    """(path, at, refers_to) of every record that repeats another's payload of so many bytes."""
-    some = records.where(F.col("payload_bytes") >= least)
-    first = some.groupBy("digest", "payload_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    return some.join(first, ["digest", "payload_bytes"]).where("NOT page_id <=> refers_to").select("path", "at", "refers_to")
+    """(path, at, top) of every record that repeats another's payload of so many bytes; top: page_id, path and at of that response.
+
+    The response is the record with the largest page id, nulls smallest, then
+    with the last path and place. Records with its page id are responses too.
+    """
+    some = records.where((F.col("payload_bytes") >= least) & F.col("error").isNull())
+    own = F.struct("page_id", "path", "at")
+    first = written(some.groupBy("digest", "payload_bytes").agg(F.max(own).alias("top"), F.count("*").alias("n")).where("n > 1").drop("n"), "responses")
+    other = F.when(F.col("top.page_id").isNull(), ~own.eqNullSafe(F.col("top"))).otherwise(~F.col("page_id").eqNullSafe(F.col("top.page_id")))
+    return some.join(first, ["digest", "payload_bytes"]).where(other).select("path", "at", "top")
 
 
 def to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 1000) -> None:
-    """Convert all ARC files under a path to WARC files."""
-    again = written(revisits(read_arc(spark, arc_path), least), "revisits")
+    """Convert all ARC files under a path to WARC files; of a malformed file, the records before its first fault."""
+    again = written(revisits(written(read_arc(spark, arc_path), "records", FILES), least), "revisits")
     # a file's decisions are as many as its records at most
-    by_file = again.groupBy("path").agg(F.collect_list(F.struct("at", "refers_to")).alias("again"))
+    by_file = again.groupBy("path").agg(F.collect_list(F.struct("at", "top")).alias("again"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 name, content, again = (b.column(c)[i].as_py() for c in range(3))
-                refers = {x["at"]: x["refers_to"] for x in again or ()}
+                refers = {x["at"]: record_at(x["top"]["page_id"], x["top"]["path"], x["top"]["at"]) for x in again or ()}
                 out, size = [], 0
-                for h, block in parse_arc(unpacked(content)):
-                    out.append(convert(h, block, name, refers.get(h["at"], False)))
+                for h, block, _ in readable(unpacked(content)):
+                    if h is None:
+                        continue
+                    out.append(convert(h, block, name, refers.get(h["at"])))
                     size += len(out[-1])
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
@@ -276,14 +309,15 @@ def to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = 100
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     files = _files(spark, arc_path).join(by_file, "path", "left").select("path", "content", "again")
-    _store(files.mapInArrow(rows, "record binary"), warc_path, "\r\n\r\n")
+    with batches_of(spark, FILES):
+        _store(files.mapInArrow(rows, "record binary"), warc_path, "\r\n\r\n")
 
 
-WARC_ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, uri string, date string"
+WARC_ROWS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, record_id string, refers_to_id string, uri string, date string"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record. The digest of a response is computed anew and must be the declared one."""
+    """One row per record. The digest of a response is computed anew and must be the declared one. A revisit's payload_bytes is what its head declares, null if nothing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,13 +327,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     _, http, payload = split_http(block)
                     declared = base64.b32decode(f["warc-payload-digest"].removeprefix("sha1:")).hex()
                     kind = f["warc-type"]
-                    if kind == "response" and hashlib.sha1(payload).hexdigest() != declared:
+                    whole = kind != "revisit"
+                    if whole and hashlib.sha1(payload).hexdigest() != declared:
                         raise ValueError(f"digest of {f['warc-record-id']} differs")
-                    size = len(payload) if kind == "response" else int(http["content-length"])
-                    refers = record_page(f["warc-refers-to"]) if kind == "revisit" else None
-                    out.append((record_page(f["warc-record-id"]), size, declared, kind, refers, f["warc-record-id"], f["warc-target-uri"], f["warc-date"]))
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri", "date"])
+                    length = http.get("content-length", "")
+                    size = len(payload) if whole else int(length) if length.isdigit() else None
+                    to = None if whole else f["warc-refers-to"]
+                    out.append((record_page(f["warc-record-id"]), size, declared, kind, record_page(to) if to else None, f["warc-record-id"], to, f["warc-target-uri"], f["warc-date"]))
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "uri", "date"])
 
     return _files(spark, path).mapInArrow(rows, WARC_ROWS)
 
@@ -310,7 +346,8 @@ def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     arc, warc = work_path(spark, "arc"), work_path(spark, "warc")
     write_arc(pages, arc)
     to_warc(spark, arc, warc, least)
-    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return written(back, "records", FILES)
 
 
 #: The same rows in DuckDB over the view pages; it has SHA-1 of text.
@@ -318,7 +355,7 @@ SQL = """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS top FROM p WHERE b >= 1000 GROUP BY d)
 SELECT page_id, CAST(b AS BIGINT) AS payload_bytes, d AS payload_digest,
-       CASE WHEN b >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN b >= 1000 AND page_id <> top THEN top END AS refers_to
+       CASE WHEN b >= 1000 AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN b >= 1000 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
 FROM p LEFT JOIN m USING (d)
 """

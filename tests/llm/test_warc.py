@@ -44,11 +44,11 @@ def test_identifiers_dates_digests():
         u = W.record_id(p, b"salt")
         assert W.record_page(f"<{u}>") == p and u[9 + 14] == "8"
     assert W.iso("20200102030405") == "2020-01-02T03:04:05Z" and W.iso("199701020304") == "1997-01-02T03:04:00Z"
-    rec = W.convert({"url": "u", "date": W.DATE, "ip": "1.2.3.4", "at": 0}, W.http_block(5, b"payload"), "f", False)
+    rec = W.convert({"url": "u", "date": W.DATE, "ip": "1.2.3.4", "at": 0}, W.http_block(5, b"payload"), "f", None)
     (fields, block), = W.parse_warc(rec + b"\r\n\r\n")
     assert fields["warc-type"] == "response" and block.endswith(b"payload")
     assert fields["warc-payload-digest"] == W.base32(hashlib.sha1(b"payload").digest())
-    again = W.convert({"url": "u", "date": W.DATE, "ip": "1.2.3.4", "at": 0}, W.http_block(5, b"payload"), "f", 9)
+    again = W.convert({"url": "u", "date": W.DATE, "ip": "1.2.3.4", "at": 0}, W.http_block(5, b"payload"), "f", W.record_at(9, "f", 77))
     (fields, block), = W.parse_warc(again)
     assert fields["warc-type"] == "revisit" and W.record_page(fields["warc-refers-to"]) == 9 and b"payload" not in block
 
@@ -62,6 +62,36 @@ def test_hot_payload_and_files(spark):
     got = W.read_warc(spark, warc)
     assert got.where("record_type = 'revisit'").count() == 599
     assert {r.refers_to for r in got.where("record_type = 'revisit'").collect()} == {899}
+    # every reference names a record of the archive, the response with that payload
+    ids = {r.record_id: r for r in got.collect()}
+    assert len(ids) == 900
+    for r in ids.values():
+        if r.record_type == "revisit":
+            to = ids[r.refers_to_id]
+            assert to.record_type == "response" and to.payload_digest == r.payload_digest and to.page_id == 899
+
+
+def archive(spark, name, *records):
+    path = work_path(spark, name)
+    body = W.version_block(1, "f") + b"\n" + b"".join(r + b"\n" for r in records)
+    spark.createDataFrame([(bytearray(body),)], "value binary").selectExpr("cast(value as string) AS value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+def test_archive_of_others(spark):
+    """No page ids, no Content-Length, a record that is no HTTP message, a malformed tail."""
+    http = b"HTTP/1.0 200 OK\r\nX-Page-Id: none\r\n\r\n" + b"q" * 1200
+    dns = b"2020 example.org 1.2.3.4"
+    path = archive(spark, "others", *(W.arc_record(1, "f", f"http://h/{i}", http, 0) for i in range(3)), W.arc_record(1, "f", "dns:h", dns, 0), b"http://x not a record")
+    rows = W.read_arc(spark, path).collect()
+    assert [r.error is None for r in rows] == [True] * 4 + [False]
+    out = work_path(spark, "others-warc")
+    W.to_warc(spark, path, out)
+    got = W.read_warc(spark, out).collect()
+    assert sorted(r.record_type for r in got) == ["resource", "response", "revisit", "revisit"]
+    response, = (r.record_id for r in got if r.record_type == "response")
+    assert {r.refers_to_id.strip("<>") for r in got if r.record_type == "revisit"} == {response.strip("<>")}
+    assert {r.payload_bytes for r in got if r.record_type == "revisit"} == {None}
 
 
 def test_sql(spark, sf, same):
