@@ -14,9 +14,10 @@ the bytes of Arrow batches. The model has a bounded size.
 
 Edge cases: a null text scores like an empty one; labels that are null or
 rows without one are not learned from; an id with several labels counts as
-toxic if one says so; without labels of both kinds all scores are the share of
-toxic labels (0 without any); a null id is held out like id ''. Other columns
-are ignored.
+toxic if one says so, and of several texts of an id the one that sorts first is
+learned from; without labels of both kinds all scores are the share of
+toxic labels (0 without any); a null id is held out like id ''. A score depends
+on its own text and the model only. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ class Lexicon:
         return cls(telling(w.whole, w.row, y, LEXICON), {n: telling(w.stem(n)[1], w.row[w.stem(n)[0]], y, LEXICON) for n in STEMS}, np.sort(digests([x.encode() for x in SECOND_PERSON])))
 
 
-NAMES = ("words", "lexicon", "lexicon_rate", "stem", "stem_rate", "masked", "masked_rate", "near_you", "near_rate", "you_rate", "capitals", "marks", "shouts", "digits", "mixed", "symbols", "repeats")
+NAMES = ("words", "lexicon", "lexicon_rate", "stem", "stem_rate", "masked", "masked_rate", "near_you", "near_rate", "you_rate", "capitals", "marks", "shouts", "digits", "mixed", "repeats", "symbols")
 
 
 def features(data: np.ndarray, offs: np.ndarray, lex: Lexicon, powers: K.Powers) -> np.ndarray:
@@ -139,6 +140,9 @@ def features(data: np.ndarray, offs: np.ndarray, lex: Lexicon, powers: K.Powers)
     punct = ((data >= 33) & (data <= 47)) | ((data >= 58) & (data <= 64)) | ((data >= 91) & (data <= 96)) | ((data >= 123) & (data <= 126))
     same = np.zeros(len(data), bool)
     same[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2])
+    # the first two bytes of a text repeat nothing, whatever stands before it
+    lead = np.concatenate([offs[:-1], offs[:-1] + 1])
+    same[lead[lead < np.concatenate([offs[1:], offs[1:]])]] = False
     symbol = np.concatenate([[0], np.cumsum(digit | (data == 64) | (data == 36) | (data == 42))])
     inside = symbol[w.e] - symbol[w.s]
     mixed = (inside > 0) & (inside < w.e - w.s)
@@ -275,7 +279,9 @@ def sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
     some = sorted((r["h"], r["doc_id"], r["y"]) for r in marks.where(h < bound).select(h.alias("h"), "doc_id", "y").collect())
     ids = [x[1:] for y in (0, 1) for x in [x for x in some if x[2] == y][:per_class]]
     picked = docs.sparkSession.createDataFrame(ids, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).collect()  # 2 x per_class rows at most
+    # of rows with one id, the text that sorts first
+    one = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = one.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").collect()  # 2 x per_class rows at most
     return [r["text"] or "" for r in rows], [r["y"] for r in rows], share
 
 

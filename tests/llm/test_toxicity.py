@@ -60,8 +60,63 @@ def test_samples_are_bounded(spark):
     assert len(texts) == len(y) <= 100 and 0.2 < share < 0.3
 
 
-def test_documents(spark):
-    sf = "/root/testdata/sf0.01"
+def brute_features(text, lex):
+    """The features of one text, word by word."""
+    import re
+
+    from foliant.llm import kernels as K
+
+    raw = text.encode()
+    powers = K.Powers()
+    one = lambda b: X.digests([b])[0]
+    fold = lambda b: bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+    undo = lambda b: fold(b.translate(bytes.maketrans(b"013457@$!|", b"oleastasil")))
+    ws = re.findall(rb"[0-9A-Za-z\x80-\xff@$*]+", raw)
+    n, size = len(ws), max(len(raw), 1)
+    has = lambda w, keys: one(fold(w)) in set(keys.tolist())
+    hit = [has(w, lex.words) for w in ws]
+    stem = [any(len(w) > k and one(fold(w[:k])) in set(lex.stems[k].tolist()) for k in X.STEMS) for w in ws]
+    masked = [not h and undo(w) != fold(w) and one(undo(w)) in set(lex.words.tolist()) for w, h in zip(ws, hit, strict=True)]
+    you = [i for i, w in enumerate(ws) if has(w, lex.second)]
+    bad = [i for i in range(n) if hit[i] or stem[i] or masked[i]]
+    near = sum(any(abs(i - j) <= X.NEAR for j in you) for i in bad)
+    rate = lambda p: len(re.findall(p, raw)) / size
+    inside = [sum(c in b"0123456789@$*" for c in w) for w in ws]
+    mixed = sum(0 < k < len(w) for k, w in zip(inside, ws, strict=True))
+    per = max(n, 1)
+    same = sum(raw[i] == raw[i - 1] == raw[i - 2] for i in range(2, len(raw)))
+    marks = rate(rb"[!?]")
+    punct = rate(rb"[!-/:-@\[-`{-~]")
+    del powers
+    return [np.log1p(n), sum(hit), sum(hit) / per, sum(stem), sum(stem) / per, sum(masked), sum(masked) / per, near, near / per, len(you) / per,
+            rate(rb"[A-Z]"), punct, marks, rate(rb"[0-9]"), mixed / per, same / size, punct - marks]
+
+
+def test_features_equal_brute_force_alone_and_in_any_batch():
+    import pyarrow as pa
+
+    from foliant.llm import kernels as K
+
+    lex = X.Lexicon(np.sort(X.digests([b"grumf", b"blarg"])), {k: np.sort(X.digests([b"snotzel"[:k]])) for k in X.STEMS}, np.sort(X.digests([w.encode() for w in X.SECOND_PERSON])))
+    texts = ["hello aa", "a b c", "", "grumf YOU blarg!! gr0umf", "aaa!!! $nake b", "x", "yy", "é" * 9 + " ü", "snotzeling you gruMF 1@3 ***", "you " * 9 + "bl4rg", "z" * 50_000]
+    assert len(X.NAMES) == 17
+    run = lambda xs: X.features(*K.buffers(pa.array(xs)), lex, K.Powers())
+    want = np.array([brute_features(t, lex) for t in texts])
+    assert np.allclose(run(texts), want) and np.allclose(run(texts[::-1]), want[::-1])
+    assert np.array_equal(np.concatenate([run([t]) for t in texts]), run(texts))
+
+
+def test_long_text_and_repeated_ids(spark):
+    d, labels = corpus(spark)
+    long = "plain words " * 100_000 + "grumf"
+    more = spark.createDataFrame([(7, long, "x"), (1, "another text of an id", "x"), (1, None, "x")], d.schema)
+    got = X.score(d.unionByName(more), labels).collect()
+    again = X.score(d.unionByName(more).repartition(3), labels).collect()
+    assert len(got) == 607 and sorted(got, key=str) == sorted(again, key=str)
+
+
+def test_documents(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # labels enough to learn from
     labels = read_table(spark, sf, "labels")
     got = X.score(read_table(spark, sf, "documents"), labels).where("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.9
