@@ -8,16 +8,17 @@ white space or ASCII punctuation, and any byte may stand alone, so every text ha
 probability. Expectation-maximisation fits the probabilities. A text's
 languages are weighed by the product over its words.
 
-Fit: on at most `per_lang` texts of each language, chosen by a hash of the id
-among the rows that may be learned from (a bounded sample, on the driver).
+Fit: on at most `per_lang` texts of each language, chosen by a hash of id and
+text among the rows that may be learned from (a bounded sample, on the driver).
 Score: every whole text, in Python workers, one batch at a time; each distinct
 word of a batch is passed once. The model that is sent out has a bounded size,
 pieces x languages.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0; rows
 with a null lang are not learned from; with nothing to learn from, all rows
-are `und`; ties go to the language that sorts first; runs of more than 240
-bytes of word are cut there. Other columns are ignored.
+are `und`; ties go to the language that sorts first. Words of any length, as of
+scripts without spaces, are learned from and scored whole. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ from pyspark.sql import types as T
 from . import kernels as K
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-LONGEST, RUN, SLOTS = 16, 240, 20
+SLOTS = 20
+#: Bytes of a word whose sums are held at once; a longer word is passed in slices of so many.
+SLICE = 200_000
 
 
 def crc(col: Column) -> Column:
@@ -54,7 +57,7 @@ def pieces(path: str = VOCABULARY) -> list[tuple[bool, bytes]]:
         p = sp.id_to_piece(i)
         start, p = p.startswith("▁"), p.lstrip("▁").encode()
         p = bytes(b + 32 if 65 <= b <= 90 else b for b in p)
-        if 0 < len(p) <= LONGEST:
+        if p:
             out[start, p] = None
     return list(out)
 
@@ -103,23 +106,24 @@ class Vocabulary:
     inner: Lookup
     n_first: int
     n: int  # pieces: those that begin a word, the others, and the bare word mark
+    sizes: list[int]  # in bytes, of the pieces that can stand in a word
+
+    @property
+    def longest(self) -> int:
+        return self.sizes[-1]
 
 
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
     all_ = pieces(path)
     a, b = [p for s, p in all_ if s], [p for s, p in all_ if not s]
-    return Vocabulary(Lookup.of(digests(a)), Lookup.of(digests(b)), len(a), len(a) + len(b) + 1)
+    kind = K.alnum_class()
+    sizes = sorted({len(p) for _, p in all_ if kind[np.frombuffer(p, np.uint8)].all()})
+    return Vocabulary(Lookup.of(digests(a)), Lookup.of(digests(b)), len(a), len(a) + len(b) + 1, sizes)
 
 
 def word_cuts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words as runs of letters, digits and non-ASCII bytes; longer ones than RUN are cut."""
-    s, e, row = K.cut(data, offs, K.alnum_class())
-    if len(s) and (e - s).max() > RUN:
-        n = -(-(e - s) // RUN)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        s, end, row = np.repeat(s, n) + k * RUN, np.repeat(e, n), np.repeat(row, n)
-        e = np.minimum(s + RUN, end)
-    return s, e, row
+    """Words as runs of letters, digits and non-ASCII bytes."""
+    return K.cut(data, offs, K.alnum_class())
 
 
 @dataclass
@@ -133,22 +137,27 @@ class Lattice:
     marked: np.ndarray  # at a word's start without the word mark in the piece
     size: np.ndarray
 
+    longest: int
+
     @classmethod
-    def of(cls, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, v: Vocabulary, powers: K.Powers) -> Lattice:
+    def of(cls, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, v: Vocabulary, powers: K.Powers, begins: bool = True) -> Lattice:
+        """begins: whether the words begin at s, rather than being cut there."""
         size = e - s
         word = np.repeat(np.arange(len(s), dtype=np.int32), size)
         within = (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)).astype(np.int64)
         left = np.repeat(size, size) - within
         at = np.repeat(s, size) + within
         parts = []
-        for n in range(1, LONGEST + 1):
+        for n in v.sizes:
             ok = np.flatnonzero(left >= n)
             if not len(ok):
                 break
             g = K.span_hash(h, at[ok], at[ok] + n, powers)
             p = v.inner.find(g)
             hit = p >= 0
-            parts.append((word[ok[hit]], within[ok[hit]], within[ok[hit]] + n, p[hit] + v.n_first, within[ok[hit]] == 0))
+            parts.append((word[ok[hit]], within[ok[hit]], within[ok[hit]] + n, p[hit] + v.n_first, (within[ok[hit]] == 0) & begins))
+            if not begins:
+                continue
             top = within[ok] == 0
             p = v.first.find(g[top])
             hit = p >= 0
@@ -156,7 +165,7 @@ class Lattice:
             parts.append((word[w], within[w], within[w] + n, p[hit], np.zeros(len(w), bool)))
         w, a, b, p, m = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(b, kind="stable")
-        return cls(w[order], a[order], b[order], p[order], m[order], size)
+        return cls(w[order], a[order], b[order], p[order], m[order], size, v.longest)
 
     def weights(self, prob: np.ndarray) -> np.ndarray:
         """Probability of each edge; prob: (pieces, languages)."""
@@ -164,81 +173,113 @@ class Lattice:
         x[self.marked] *= prob[-1]
         return x
 
-    def forward(self, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled sums (words, positions, languages), the log of the scale, and log probabilities (words, languages)."""
+    def forward(self, prob: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled sums (words, positions, languages), the log of the scale, and log probabilities (words, languages).
+
+        before: the sums of the first positions, where they are known; else a word begins with 1.
+        """
         n, k, top = len(self.size), prob.shape[1], int(self.size.max(initial=0))
         x = self.weights(prob)
-        # about the size of a byte's share; keeps the sums near 1, and renewed every LONGEST bytes
+        # keeps the sums near 1; renewed as often as the longest piece
         a, log = np.zeros((n, top + 1, k)), np.zeros((n, k))
-        a[:, 0] = 1
+        known = 1 if before is None else before.shape[1]
+        a[:, :known] = 1 if before is None else before
         out = np.zeros((n, k))
         bound = np.searchsorted(self.e, np.arange(top + 2))
-        for e in range(1, top + 1):
+        for e in range(known, top + 1):
             i = slice(bound[e], bound[e + 1])
             w = self.word[i]
             for c in range(k):
                 a[:, e, c] = np.bincount(w, weights=a[w, self.s[i], c] * x[i, c], minlength=n)
             done = self.size == e
             out[done] = np.log(a[done, e]) + log[done]
-            if e % LONGEST == 0 and e < top:
+            if e % self.longest == 0 and e < top:
                 live = np.flatnonzero(self.size > e)
                 scale = a[live, e]
-                a[live, max(0, e - LONGEST) : e + 1] /= scale[:, None]
+                a[live, max(0, e - self.longest) : e + 1] /= scale[:, None]
                 log[live] += np.log(scale)
         return a, log, out
 
 
-def fit(texts: list[str], langs: list[str], v: Vocabulary, names: list[str], rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
+def long_word(data: np.ndarray, h: np.ndarray, s: int, e: int, v: Vocabulary, prob: np.ndarray, powers: K.Powers, piece: int = SLICE) -> np.ndarray:
+    """Log probabilities (languages) of one word, slice by slice: the sums of the last positions go on."""
+    total, before = np.zeros(prob.shape[1]), None
+    at = s
+    while at < e:
+        back = 0 if before is None else before.shape[1] - 1
+        stop = min(at + piece, e)
+        lat = Lattice.of(data, h, np.array([at - back]), np.array([stop]), v, powers, before is None)
+        a, log, _ = lat.forward(prob, before)
+        last = a[:, max(0, a.shape[1] - 1 - v.longest) :]
+        total += log[0] + np.log(last[0, -1])
+        before = last / last[:, -1:]
+        at = stop
+    return total
+
+
+def fit(texts: list[str], langs: list[str], v: Vocabulary, names: list[str], rounds: int = 4, smooth: float = 0.05, at_once: int = 1_000_000) -> np.ndarray:
     """(pieces, languages) probabilities by expectation-maximisation over all segmentations of the words."""
     powers, data_offs = K.Powers(), K.buffers(pa.array(texts, pa.string()))
     data, offs = data_offs
     h = K.prefix(data, K.byte_values(), powers)
     s, e, row = word_cuts(data, offs)
     which = np.array([names.index(x) for x in langs])[row]
-    ok = e - s <= 2 * LONGEST  # longer runs tell little, and their sums would need scales
-    s, e, which = s[ok], e[ok], which[ok]
     key = K.span_hash(h, s, e, powers)
     _, one, inv = np.unique(key, return_index=True, return_inverse=True)
     count = np.zeros((len(one), len(names)))
     np.add.at(count, (inv, which), 1)
     # words of like length in parts, so that their sums stay small
-    order = np.argsort((e - s)[one], kind="stable")
-    parts = [order[i : i + 10_000] for i in range(0, len(order), 10_000)]
-    lattices = [Lattice.of(data, h, s[one[i]], e[one[i]], v, powers) for i in parts]
+    order, parts = np.argsort((e - s)[one], kind="stable"), []
+    while len(order):
+        n = min(len(order), 10_000)
+        while n > 1 and n * int((e - s)[one[order[n - 1]]]) > at_once:
+            n //= 2
+        parts.append(order[:n])
+        order = order[n:]
     prob = np.full((v.n, len(names)), 1.0 / v.n)
     for _ in range(rounds):
         new = np.zeros_like(prob)
-        for i, lat in zip(parts, lattices, strict=True):
-            new += expected(lat, prob, count[i])
+        for i in parts:
+            new += expected(Lattice.of(data, h, s[one[i]], e[one[i]], v, powers), prob, count[i])
         prob = (new + smooth) / (new + smooth).sum(axis=0)
     return prob
 
 
 def expected(lat: Lattice, prob: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """(pieces, languages) expected numbers of pieces over all segmentations; count: (words, languages)."""
+    """(pieces, languages) expected numbers of pieces over all segmentations; count: (words, languages).
+
+    Sums are kept as logarithms, each computed relative to its neighbour's, so words of any length have them.
+    """
     n, k, top = len(lat.size), prob.shape[1], int(lat.size.max(initial=0))
-    bound = np.searchsorted(lat.e, np.arange(top + 2))
-    x = lat.weights(prob) * np.float64(30.0) ** (lat.e - lat.s)[:, None]
+    x, word = lat.weights(prob), lat.word
     a, b = np.zeros((n, top + 1, k)), np.zeros((n, top + 1, k))
-    a[:, 0] = 1
-    b[np.arange(n), lat.size] = 1
-    for end in range(1, top + 1):
-        i = slice(bound[end], bound[end + 1])
+    grown = lambda z: np.exp(np.minimum(z, 700))
+
+    def step(i: np.ndarray | slice, sums: np.ndarray, other: np.ndarray, at: int, near: int) -> None:
+        """The sums at one position, from the edges i to or from it."""
+        w = word[i]
+        y = grown(sums[w, other[i]] - sums[w, near]) * x[i]
+        rows = np.unique(w)
         for c in range(k):
-            a[:, end, c] = np.bincount(lat.word[i], weights=a[lat.word[i], lat.s[i], c] * x[i, c], minlength=n)
+            sums[rows, at, c] = sums[rows, near, c] + np.log(np.bincount(w, weights=y[:, c], minlength=n)[rows])
+
+    bound = np.searchsorted(lat.e, np.arange(top + 2))
+    for end in range(1, top + 1):
+        step(slice(bound[end], bound[end + 1]), a, lat.s, end, end - 1)
+    by_start = np.argsort(lat.s, kind="stable")
+    bound = np.searchsorted(lat.s[by_start], np.arange(top + 2))
+    for start in range(top - 1, -1, -1):
+        step(by_start[bound[start] : bound[start + 1]], b, lat.e, start, start + 1)
     total = a[np.arange(n), lat.size]
-    for end in range(top, 0, -1):
-        i = slice(bound[end], bound[end + 1])
-        np.add.at(b, (lat.word[i], lat.s[i]), b[lat.word[i], end] * x[i])
-    soft = a[lat.word, lat.s] * x * b[lat.word, lat.e] * (count / np.maximum(total, 1e-300))[lat.word]
     out = np.zeros_like(prob)
     for c in range(k):
-        out[:, c] = np.bincount(lat.piece, weights=soft[:, c], minlength=len(prob))
-        out[-1, c] = soft[lat.marked, c].sum()
+        soft = grown(a[word, lat.s, c] + b[word, lat.e, c] - total[word, c]) * x[:, c] * count[word, c]
+        out[:, c] = np.bincount(lat.piece, weights=soft, minlength=len(prob))
+        out[-1, c] = soft[lat.marked].sum()
     return out
 
 
-def log_probabilities(data: np.ndarray, offs: np.ndarray, v: Vocabulary, prob: np.ndarray, powers: K.Powers, at_once: int = 20_000) -> np.ndarray:
+def log_probabilities(data: np.ndarray, offs: np.ndarray, v: Vocabulary, prob: np.ndarray, powers: K.Powers, at_once: int = 20_000, piece: int = SLICE) -> np.ndarray:
     """(texts, languages) log probabilities of whole texts."""
     out = np.zeros((len(offs) - 1, prob.shape[1]))
     s, e, row = word_cuts(data, offs)
@@ -254,8 +295,12 @@ def log_probabilities(data: np.ndarray, offs: np.ndarray, v: Vocabulary, prob: n
     i = 0
     while i < len(one):  # words of like length together, so many that their sums fit
         j = min(len(one), i + at_once)
-        while (j - i) * int((e - s)[one[j - 1]]) > 4_000_000 and j - i > 1:
+        while (j - i) * int((e - s)[one[j - 1]]) > 2 * piece and j - i > 1:
             j = i + (j - i) // 2
+        if (e - s)[one[i]] > piece:
+            score[i] = long_word(data, h, int(s[one[i]]), int(e[one[i]]), v, prob, powers, piece)
+            i += 1
+            continue
         score[i:j] = Lattice.of(data, h, s[one[i:j]], e[one[i:j]], v, powers).forward(prob)[2]
         i = j
     word = back[inv]
@@ -265,16 +310,18 @@ def log_probabilities(data: np.ndarray, offs: np.ndarray, v: Vocabulary, prob: n
 
 
 def sample(docs: DataFrame, may_learn: Column, per_lang: int) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_lang rows of each language, by a hash of the id."""
+    """(lang, text) of at most per_lang different rows of each language, by a hash of id and text."""
     rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
+    # of id and text, so that rows without an id are as rare in the sample as others; repeated rows count once
+    h = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     share = F.lit(0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 1.3 * per_lang / r["n"] + 1e-9) * (1 << 30)))).otherwise(share)
     got: dict[str, int] = {}
     out = []
-    for r in sorted(rows.where(h < share).select(h.alias("h"), "doc_id", "lang", "text").collect(), key=lambda r: (r["h"], r["doc_id"] or 0, r["text"])):
+    some = rows.where(h < share).groupBy("lang", h.alias("h")).agg(F.min("text").alias("text")).collect()  # about 1.3 x per_lang rows of each language
+    for r in sorted(some, key=lambda r: (r["h"], r["text"])):
         if got.get(r["lang"], 0) < per_lang:
             got[r["lang"]] = got.get(r["lang"], 0) + 1
             out.append((r["lang"], r["text"]))

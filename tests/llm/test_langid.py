@@ -23,7 +23,7 @@ def test_forward_sums_all_segmentations():
         if at == len(w):
             return 1.0
         out = 0.0
-        for e in range(at + 1, min(len(w), at + L.LONGEST) + 1):
+        for e in range(at + 1, min(len(w), at + v.longest) + 1):
             x = w[at:e]
             p = prob[inner[x], k] * (prob[-1, k] if at == 0 else 1) if x in inner else 0.0
             p += prob[first[x], k] if at == 0 and x in first else 0.0
@@ -45,6 +45,50 @@ def test_long_runs_do_not_underflow():
     assert np.isfinite(L.log_probabilities(data, offs, v, prob, K.Powers())).all()
 
 
+def test_slices_of_a_long_word_change_nothing():
+    v, rng = L.vocabulary(), np.random.default_rng(3)
+    prob = rng.random((v.n, 3)) ** 4
+    prob /= prob.sum(axis=0)
+    texts = ["".join(rng.choice(list("aeiéößthe中日"), 700)) for _ in range(3)] + ["short words too"]
+    data, offs = K.buffers(pa.array(texts))
+    whole = L.log_probabilities(data, offs, v, prob, K.Powers())
+    for piece in (50, 333):
+        assert np.allclose(whole, L.log_probabilities(data, offs, v, prob, K.Powers(), piece=piece))
+
+
+def test_expected_counts_are_those_of_all_segmentations():
+    v, rng = L.vocabulary(), np.random.default_rng(4)
+    prob = rng.random((v.n, 1)) ** 4
+    prob /= prob.sum(axis=0)
+    data, offs = K.buffers(pa.array(["hello", "the", "中文é" * 400]))
+    powers = K.Powers()
+    h = K.prefix(data, K.byte_values(), powers)
+    s, e, _ = L.word_cuts(data, offs)
+    lat = L.Lattice.of(data, h, s, e, v, powers)
+    got = L.expected(lat, prob, np.ones((3, 1)))
+    assert np.isfinite(got).all()
+    # the derivative of the log probability, piece by piece: p * dlog/dp is the expected number
+    for piece in np.argsort(-got[:, 0])[:12]:
+        up = prob.copy()
+        up[piece] *= 1 + 1e-6
+        change = (lat.forward(up)[2] - lat.forward(prob)[2]).sum() / 1e-6
+        assert abs(change - got[piece, 0]) < 1e-2 * max(got[piece, 0], 1)
+
+
+def test_scripts_without_spaces(spark):
+    rng = np.random.default_rng(2)
+    zh, th = "的一是不了人我在有他这中大来上国", "กขคงจฉชซญดตถทธนบปผพ"
+    rows = [(i, "".join(rng.choice(list(zh if i % 2 else th), 300)), "zh" if i % 2 else "th") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.predict(d).collect()}
+    assert all(got[i] == x for i, _, x in rows)
+
+
+def test_rows_without_ids_are_sampled_too(spark):
+    d = spark.createDataFrame([(None, f"text number {i % 500}", "xx") for i in range(2000)], "doc_id bigint, text string, lang string")
+    assert 0 < len(L.sample(d, F.lit(True), 20)) <= 20
+
+
 def test_held_out_accuracy(spark, sf):
     docs = read_table(spark, sf, "documents")
     got = L.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
