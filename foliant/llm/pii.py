@@ -230,9 +230,11 @@ def redacted(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars
     """The same columns; each span of text becomes <KIND>, overlapping ones the first of them, and n_chars the new length."""
     # the row as one value, so that no column's name meets ours
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs[text].alias("text"))
-    w = train(written(found(rows, "text", ()), "spans"))
+    # found once: each row goes into the written table with its spans
+    spans = written(found(rows, "text", ("_row",)), "spans")
+    w = train(spans)
     own = F.col("_row")[text]
-    spans = found(rows, "text", ("_row",)).withColumn("_all", F.array_sort(F.transform(accepted(w), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.upper(x["kind"]).alias("kind")))))
+    spans = spans.withColumn("_all", F.array_sort(F.transform(accepted(w), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.upper(x["kind"]).alias("kind")))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
