@@ -405,13 +405,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, least: int = LEAST, kmer: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed), pa.array(runs, pa.int64()), pa.array(shared, pa.int64())], ["doc_id", "n_bytes", "kept", "n_removed", "n_spans", "n_shared"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    out = src.join(spans, "tk", "left").select("doc_id", "text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes bigint, kept binary, n_removed bigint, n_spans bigint, n_shared bigint")
-    return written(out, "kept")
+    return src.join(spans, "tk", "left").select("doc_id", "text", "spans").mapInArrow(rows, f"doc_id {kind}, n_bytes bigint, kept binary, n_removed bigint, n_spans bigint, n_shared bigint")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, least: int = LEAST) -> DataFrame:
     """dedup() with the SHA-256 of what is left in place of it."""
-    return dedup(docs, length, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
+    return written(dedup(docs, length, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared"), "digests")
 
 
 #: The same rows in DuckDB over the view documents: all strings of 400 bytes, by their MD5.
