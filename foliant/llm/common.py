@@ -82,8 +82,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        # u is the larger end here, so no node has more rows than it has smaller neighbours left
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

@@ -12,7 +12,7 @@ around its most popular class (the one whose buckets are largest) and one
 around a hub that differs from bucket to bucket. Classes of buckets that then
 still hold different components get finer keys, a prefix filter on their
 rarest shingles, and are compared until no key holds two components whose
-members have not met. Every edge is confirmed on the full sets before it links.
+members have not met; a crowded key in tiles, without a row for each pair. Every edge is confirmed on the full sets before it links.
 
 Scale: the shuffles move one short row per band and document, partial
 aggregation collapses copies before any key is dealt out, and the joins on
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import components, written
 
-BINS, ROWS, SKETCH = 125, 5, 18
+BINS, ROWS, SKETCH, TILE = 125, 5, 18, 256
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, powers: K.Powers, words: int) -> Iterator[np.ndarray]:
@@ -237,34 +238,108 @@ def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.where(F.size("shingles") > 0).select("node", "shingles").mapInArrow(cut, "node bigint, size bigint, bk bigint")
 
 
-def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links until no key (node, size, bk) is left with members of different components that have not met.
+def tile_links(node: np.ndarray, comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of links between different components in one tile, as many as join what the links join.
 
-    Each round compares some members of a bucket, four times as many as the
-    round before, with all members of other components; these leave the
-    bucket. At the latest when all its members have been chosen it is done,
-    so the rounds grow with the logarithm of the largest bucket. Pairs in
+    side: 0 in a tile of one chunk, else 1 or 2: only pairs across sides count.
+    """
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), size)
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one member alone is in no intersection
+    col, row = (np.cumsum(n > 1) - 1)[col[n[col] > 1]], row[n[col] > 1]
+    order = np.argsort(col, kind="stable")
+    col, row = col[order], row[order]
+    a, b = (np.arange(len(sets)),) * 2 if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
+    both = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, int(n.size and (n > 1).sum()), 2048):
+        x = np.zeros((len(sets), 2048), np.float32)
+        at = slice(*np.searchsorted(col, [k, k + 2048]))
+        x[row[at], col[at] - k] = 1
+        both += x[a] @ x[b].T
+    hit = (den * both >= num * (size[a][:, None] + size[b][None, :] - both)) & (both > 0) & (comp[a][:, None] != comp[b][None, :])
+    i, j = np.nonzero(hit)
+    i, j = a[i], b[j]
+    # one link for each member whose label it lowers, until the labels of both ends agree
+    lab, out = np.unique(comp, return_inverse=True)[1], []
+    while len(i):
+        apart = lab[i] != lab[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            break
+        hi, lo = np.maximum(lab[i], lab[j]), np.minimum(lab[i], lab[j])
+        top, first = np.unique(hi, return_index=True)
+        out.append((i[first], j[first]))
+        to = np.arange(lab.max() + 1)
+        to[top] = lo[first]
+        while (to[to] != to).any():
+            to = to[to]
+        lab = to[lab]
+    if not out:
+        none = np.zeros(0, np.int64)
+        return none, none
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def tiled(buckets: DataFrame, sets: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
+    """Links (u, v, cu, cv) between the components of crowded buckets (bk, node, comp, n), all pairs, without a row for a pair.
+
+    A bucket is cut into chunks, and each two of them are compared as sets in
+    one task; a tile returns as many links as join its components.
+    """
+    cut = buckets.withColumn("chunks", F.ceil(F.col("n") / tile).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    each = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")).select(
+        "bk", "node", "comp", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"),
+        F.when(F.col("c") == F.col("o"), F.when(F.col("chunks") > 1, 3).otherwise(0)).when(F.col("c") < F.col("o"), 1).otherwise(2).alias("side"),
+    )
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+        side = rows["side"].to_numpy()
+        i, j = tile_links(node, comp, np.where(side == 3, 0, side), list(rows["shingles"]), num, den)
+        u, v = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+        return pd.DataFrame({"u": node[u], "v": node[v], "cu": comp[u], "cv": comp[v]})
+
+    return each.join(sets, "node").groupBy("bk", "a", "b").applyInPandas(compare, "u bigint, v bigint, cu bigint, cv bigint").distinct()
+
+
+def rest(keys: DataFrame, comp: DataFrame, tested: DataFrame, texts: DataFrame, sets: DataFrame, words: int, num: int, den: int) -> list[DataFrame]:
+    """Compare until no key (node, size, bk) is left with members of different components that have not met.
+
+    Returns what joins components, in turn: (comp, to), to being the new name of comp.
+
+    Buckets of more than TILE members are compared in tiles at once. Of the
+    others, each round compares some members, four times as many as the round
+    before, with all members of other components; these leave the bucket. At
+    the latest when all its members have been chosen it is done. Pairs in
     tested have met already.
     """
     alone = written(keys, "keys")
     buckets = alone.join(written(alone.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd").select("bk"), "bk")
     buckets = buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    links, hubs = tested.limit(0), 2
+    moves, hubs = [], 2
     while True:
         buckets = written(buckets, "buckets")
         chosen = F.pmod(F.xxhash64("node", "bk"), F.col("n")) < hubs
-        buckets = written(buckets.join(written(several(buckets), "several"), "bk").withColumn("hub", chosen).drop("n"), "buckets")
+        buckets = written(buckets.join(written(several(buckets), "several"), "bk").withColumn("hub", chosen), "buckets")
         if buckets.isEmpty():
-            return links
+            return moves
+        wide = buckets.where(F.col("n") > TILE)
+        buckets = buckets.where(F.col("n") <= TILE).drop("n")
         hub = written(buckets.where("hub").select("bk", F.col("node").alias("h"), F.col("comp").alias("hc"), F.col("size").alias("hs")), "hubs")
         pairs = buckets.join(hub, "bk").where(f"comp <> hc AND {den} * least(size, hs) >= {num} * greatest(size, hs)")
-        pairs = pairs.select(F.least("node", "h").alias("u"), F.greatest("node", "h").alias("v"), F.least("comp", "hc").alias("cu"), F.greatest("comp", "hc").alias("cv")).distinct()
+        lower = F.col("node") < F.col("h")
+        either = lambda x, y: F.when(lower, F.col(x)).otherwise(F.col(y))
+        pairs = pairs.select(either("node", "h").alias("u"), either("h", "node").alias("v"), either("comp", "hc").alias("cu"), either("hc", "comp").alias("cv")).distinct()
         pairs = written(pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         found = written(confirmed(pairs, texts, words, num, den), "links")
+        found = pairs.join(found, ["u", "v"], "left_semi")
+        if not wide.isEmpty():
+            found = found.unionByName(written(tiled(wide, sets, num, den), "tiles"))
         buckets = buckets.where("NOT hub").select("bk", "node", "size", "comp")
         if not found.isEmpty():
-            links = links.unionByName(found)
-            joined = written(components(pairs.join(found, ["u", "v"], "left_semi"), "cu", "cv").withColumnRenamed("comp", "to").withColumnRenamed("node", "comp"), "joined")
+            joined = written(components(found, "cu", "cv").withColumnRenamed("comp", "to").withColumnRenamed("node", "comp"), "joined")
+            moves.append(joined)
             buckets = buckets.join(joined, "comp", "left").select("bk", "node", "size", F.coalesce("to", "comp").alias("comp"))
         tested = tested.unionByName(pairs.select("u", "v"))
         hubs *= 4
@@ -297,12 +372,12 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     # what is of different components in a bucket is compared to the end, by keys that meet less by chance
     left = buckets.select("bk", "node").join(written(several(buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "several").select("bk"), "bk")
     again = written(texts.join(left.select("node").distinct(), "node", "left_semi"), "again")
-    if not again.isEmpty():
-        keys = prefixes(written(full_sets(again, words), "sets"), num, den)
-        links = links.unionByName(rest(keys, comp, cand, texts, words, num, den))
-    comp = components(links)
     ids = one.groupBy("node").agg(F.min("doc_id").alias("rep"))
     label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    if not again.isEmpty():
+        sets = written(full_sets(again, words), "sets")
+        for move in rest(prefixes(sets, num, den), comp, cand, texts, sets, words, num, den):
+            label = label.join(move, "comp", "left").select("node", "rep", F.coalesce("to", "comp").alias("comp"))
     low = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = written(label.join(low, "comp").select("node", "component_id", F.col("comp").alias("group")), "components")
     # the empty set is linked with nothing

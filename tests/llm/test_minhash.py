@@ -147,3 +147,31 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_sql(spark, sf, same):
     same(M.near_duplicates(read_table(spark, sf, "documents"), 3, 85, 100), M.SQL)
+
+
+def test_tiles_join_what_all_pairs_join(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 10**6, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.07, rng.integers(0, 10**6, 60), base)) for _ in range(90)]
+    linked = lambda x, y: 100 * (k := len(np.intersect1d(x, y))) >= 85 * (len(x) + len(y) - k)
+    node = list(range(90))
+
+    def roots(edges, comp):
+        lab = dict(enumerate(comp))
+        for _ in range(90):
+            for i, j in edges:
+                x, y = lab[i], lab[j]
+                lab = {k: min(x, y) if v in (x, y) else v for k, v in lab.items()}
+        return [lab[i] for i in node]
+
+    comp = [i // 3 * 3 for i in node]
+    want = roots([(i, j) for i in node for j in node if i < j and comp[i] != comp[j] and linked(sets[i], sets[j])], comp)
+    assert len(set(want)) > 1 and want != comp
+    d = spark.createDataFrame([(7, i, comp[i], 90) for i in node], "bk bigint, node bigint, comp bigint, n bigint")
+    s = spark.createDataFrame([(i, [int(x) for x in sets[i]]) for i in node], "node bigint, shingles array<bigint>")
+    for tile in (100, 40, 7):
+        got = M.tiled(d, s, 85, 100, tile).collect()
+        assert all(linked(sets[r.u], sets[r.v]) and comp[r.u] == r.cu and comp[r.v] == r.cv for r in got)
+        assert roots([(r.u, r.v) for r in got], comp) == want
