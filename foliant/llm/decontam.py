@@ -10,8 +10,8 @@ behind the first stand up to `slop` words off its place. A match lies within
 one document.
 
 Scale: documents stay where they are (an index sharded by document needs no
-shuffle), one row of the index holds at most kernels.SEGMENT bytes of text or
-one longer text, and the phrases are sent out in blocks of at most `block`
+shuffle), one row of the index holds at most TEXT bytes of text or one
+longer text, and the phrases are sent out in blocks of at most `block`
 bytes of benchmark text, one pass over the index for each block.
 
 Edge cases: a null or empty text has no words; a null doc_id stays null; rows
@@ -34,8 +34,8 @@ from . import kernels as K
 from .common import written
 
 INDEX = "seg string, doc_id array<bigint>, n_words array<int>, terms binary, ends binary, positions binary"
-#: Rows of the index that are in hand at once.
-SEGMENTS = 8
+#: Bytes of text in a row of the index (or one longer text), and rows that are in hand at once: writers of tables hold a hundred rows.
+TEXT, SEGMENTS = 250_000, 16
 MATCHES = "seg string, ord int, doc_id bigint, n_words bigint, spans array<int>, items array<string>"
 
 
@@ -51,7 +51,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         powers, part, n = K.Powers(), TaskContext.get().partitionId(), 0
         for b in batches:
             data, offs = K.buffers(b.column(1))
-            for i, j in K.segments(offs):
+            for i, j in K.segments(offs, TEXT):
                 row, h = _words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], powers)
                 order = np.argsort(h, kind="stable")
                 terms, first = np.unique(h[order], return_index=True)
