@@ -27,15 +27,34 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when the driver's JVM ends."""
-    path = f"{work_root(spark)}/foliant-{uuid.uuid4().hex}/{name}"
+#: Folders made in each open scratch().
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, but those to keep: what is returned may read only these."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def work_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path under the shared folder, removed when the driver's JVM ends, or with the scratch() that it is made in;
+    one to keep, with the scratch() around that."""
+    folder = f"{work_root(spark)}/foliant-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    parent = jvm.org.apache.hadoop.fs.Path(folder)
     fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(parent)
     fs.deleteOnExit(parent)
-    return path
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(folder)
+    return f"{folder}/{name}"
 
 
 @contextmanager
@@ -52,10 +71,10 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, rows: int = ROWS) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int = ROWS, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
-    path = work_path(spark, name)
+    path = work_path(spark, name, keep)
     with batches_of(spark, rows):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

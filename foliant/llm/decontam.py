@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import scratch, written
 
 INDEX = "seg string, doc_id array<bigint>, n_words array<int>, terms binary, ends binary, positions binary"
 #: Bytes of text in a row of the index (or one longer text), and rows that are in hand at once: writers of tables hold a hundred rows.
@@ -200,7 +200,7 @@ def _matched(index: DataFrame, q: dict | None, slop: int) -> DataFrame:
                 )
 
     # a row of the index is a whole segment
-    return written(index.mapInArrow(rows, MATCHES), "matches", SEGMENTS)
+    return written(index.mapInArrow(rows, MATCHES), "matches", SEGMENTS, keep=True)
 
 
 def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0, block: int = 4_000_000) -> DataFrame:
@@ -251,7 +251,8 @@ def covered(spans: Column) -> Column:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20, block: int = 4_000_000) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated (share * n_hit >= n_words, some hit)."""
-    found = search(build_index(docs), items, window, 0, block)
+    with scratch(docs.sparkSession):  # the index isn't needed behind the matches
+        found = search(build_index(docs), items, window, 0, block)
     return found.select(
         "doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.array_sort("items").alias("items")
     ).select(
@@ -272,7 +273,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20)
     whatever the id.
     """
     key = F.xxhash64(docs["text"])
-    found = search(build_index(docs.select(key.alias("doc_id"), "text")), items, window)
+    with scratch(docs.sparkSession):
+        found = search(build_index(docs.select(key.alias("doc_id"), "text")), items, window)
     pairs = F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1)
     run = (F.size("spans") > 0) & F.exists(pairs, lambda i: F.get("spans", i * 2 + 1) - F.get("spans", i * 2) >= window)
     n = covered(F.col("spans"))

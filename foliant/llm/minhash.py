@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, written
+from .common import components, scratch, written
 
 BINS, ROWS, SKETCH, TILE = 125, 5, 18, 256
 
@@ -349,37 +349,38 @@ def grouped(docs: DataFrame, words: int, num: int, den: int, bins: int, rows: in
     """near_duplicates() with tk, a hash of the text, and comp, a number of the group, null for an empty set."""
     src = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("tk"), F.col(text).alias("text"))
     sig = written(signatures(src, words, num, den, bins, rows), "signatures")
-    some = sig.where("n_shingles > 0")
-    # the row of the smallest id stands for its class; copies fall together before the shuffle
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "bands", "shingles")).alias("r")
-    one = some.groupBy("node", "node2").agg(first).select("node", "r.doc_id", "r.tk", "r.bands", "r.shingles")
-    one = written(one, "classes")
-    # small sets fill too few bins for bands; their prefixes are exact
-    rows_ = written(one.select("node", F.explode("bands").alias("bk")).unionByName(prefixes(one, num, den).select("node", "bk")), "keys")
-    # written, so that both sides of the join are plain shuffles, which AQE can split at a hot key; likewise below
-    crowd = written(rows_.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
-    crowded = written(rows_.join(crowd, "bk"), "crowded")
-    pop = crowded.groupBy("node").agg(F.sum("n").alias("pop"))
-    buckets = written(crowded.join(pop, "node").select("bk", "node", "pop"), "buckets")
-    who = one.join(pop.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("rid"), F.col("tk").alias("rtk"))
-    texts = written(
-        src.join(who, src["doc_id"].eqNullSafe(who["rid"]) & (src["tk"] == who["rtk"])).select("node", "text").dropDuplicates(["node"]),
-        "texts",
-    )
-    cand = written(stars(buckets).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "stars")
-    links = written(confirmed(cand, texts, words, num, den), "links")
-    comp = written(components(links), "components")
-    # what is of different components in a bucket is compared to the end, by keys that meet less by chance
-    left = buckets.select("bk", "node").join(written(several(buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "several").select("bk"), "bk")
-    again = written(texts.join(left.select("node").distinct(), "node", "left_semi"), "again")
-    ids = one.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    if not again.isEmpty():
-        sets = written(full_sets(again, words), "sets")
-        for move in rest(prefixes(sets, num, den), comp, cand, texts, sets, words, num, den):
-            label = label.join(move, "comp", "left").select("node", "rep", F.coalesce("to", "comp").alias("comp"))
-    low = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = written(label.join(low, "comp").select("node", "component_id", F.col("comp").alias("group")), "components")
+    with scratch(docs.sparkSession):
+        some = sig.where("n_shingles > 0")
+        # the row of the smallest id stands for its class; copies fall together before the shuffle
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "bands", "shingles")).alias("r")
+        one = some.groupBy("node", "node2").agg(first).select("node", "r.doc_id", "r.tk", "r.bands", "r.shingles")
+        one = written(one, "classes")
+        # small sets fill too few bins for bands; their prefixes are exact
+        rows_ = written(one.select("node", F.explode("bands").alias("bk")).unionByName(prefixes(one, num, den).select("node", "bk")), "keys")
+        # written, so that both sides of the join are plain shuffles, which AQE can split at a hot key; likewise below
+        crowd = written(rows_.groupBy("bk").agg(F.count("*").alias("n")).where("n > 1"), "crowd")
+        crowded = written(rows_.join(crowd, "bk"), "crowded")
+        pop = crowded.groupBy("node").agg(F.sum("n").alias("pop"))
+        buckets = written(crowded.join(pop, "node").select("bk", "node", "pop"), "buckets")
+        who = one.join(pop.select("node"), "node", "left_semi").select("node", F.col("doc_id").alias("rid"), F.col("tk").alias("rtk"))
+        texts = written(
+            src.join(who, src["doc_id"].eqNullSafe(who["rid"]) & (src["tk"] == who["rtk"])).select("node", "text").dropDuplicates(["node"]),
+            "texts",
+        )
+        cand = written(stars(buckets).select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct(), "stars")
+        links = written(confirmed(cand, texts, words, num, den), "links")
+        comp = written(components(links), "components")
+        # what is of different components in a bucket is compared to the end, by keys that meet less by chance
+        left = buckets.select("bk", "node").join(written(several(buckets.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))), "several").select("bk"), "bk")
+        again = written(texts.join(left.select("node").distinct(), "node", "left_semi"), "again")
+        ids = one.groupBy("node").agg(F.min("doc_id").alias("rep"))
+        label = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if not again.isEmpty():
+            sets = written(full_sets(again, words), "sets")
+            for move in rest(prefixes(sets, num, den), comp, cand, texts, sets, words, num, den):
+                label = label.join(move, "comp", "left").select("node", "rep", F.coalesce("to", "comp").alias("comp"))
+        low = label.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        named = written(label.join(low, "comp").select("node", "component_id", F.col("comp").alias("group")), "components", keep=True)
     # the empty set is linked with nothing
     out = sig.join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
@@ -402,12 +403,13 @@ def distinct(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, bin
     hash of its text; of rows equal in both, any one. Rows of an empty set
     are in no group and stay.
     """
-    found = grouped(docs, words, num, den, bins, rows, doc_id, text)
-    alike = found.where("comp IS NOT NULL").groupBy("comp", "doc_id", "tk").agg(F.count("*").alias("n"))
-    one = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "n")).alias("one"))
-    one = one.select(F.col("one.doc_id").alias("_id"), F.col("one.tk").alias("_tk"), (F.col("one.n") > 1).alias("_many"))
-    blank = found.where("comp IS NULL").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.lit(False).alias("_many")).distinct()
-    stay = written(one.unionByName(blank), "stay")
+    with scratch(docs.sparkSession):
+        found = grouped(docs, words, num, den, bins, rows, doc_id, text)
+        alike = found.where("comp IS NOT NULL").groupBy("comp", "doc_id", "tk").agg(F.count("*").alias("n"))
+        one = alike.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tk", "n")).alias("one"))
+        one = one.select(F.col("one.doc_id").alias("_id"), F.col("one.tk").alias("_tk"), (F.col("one.n") > 1).alias("_many"))
+        blank = found.where("comp IS NULL").select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.lit(False).alias("_many")).distinct()
+        stay = written(one.unionByName(blank), "stay", keep=True)
     key, tk = docs[doc_id].cast("bigint"), F.xxhash64(docs[text])
     single, many = stay.where("NOT _many"), stay.where("_many")
     out = docs.join(single, key.eqNullSafe(single["_id"]) & tk.eqNullSafe(single["_tk"]), "left_semi")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import written
+from .common import scratch, written
 
 LENGTH, KMER = 400, 64
 #: Bytes of a repeat that is counted but not removed: about 40 words, so that a passage of 50 words is one.
@@ -410,7 +410,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, least: int = LEAST, kmer: int =
 
 def digests(docs: DataFrame, length: int = LENGTH, least: int = LEAST) -> DataFrame:
     """dedup() with the SHA-256 of what is left in place of it."""
-    return written(dedup(docs, length, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared"), "digests")
+    with scratch(docs.sparkSession):
+        out = dedup(docs, length, least).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_shared")
+        return written(out, "digests", keep=True)
 
 
 #: The same rows in DuckDB over the view documents: all strings of 400 bytes, by their MD5.

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, work_path, written
+from .common import batches_of, scratch, work_path, written
 
 ARC_FIELDS = {
     1: ("url", "ip", "date", "mime", "length"),
@@ -343,11 +343,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
     """Pages to ARC files, those to WARC files, and these read back: one row per page."""
     spark = pages.sparkSession
-    arc, warc = work_path(spark, "arc"), work_path(spark, "warc")
-    write_arc(pages, arc)
-    to_warc(spark, arc, warc, least)
-    back = read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    return written(back, "records", FILES)
+    with scratch(spark):
+        arc, warc = work_path(spark, "arc"), work_path(spark, "warc")
+        write_arc(pages, arc)
+        to_warc(spark, arc, warc, least)
+        back = read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        return written(back, "records", FILES, keep=True)
 
 
 #: The same rows in DuckDB over the view pages; it has SHA-1 of text.
