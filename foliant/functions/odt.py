@@ -61,6 +61,8 @@ def entries(data: bytes) -> list[Entry]:
         name = data[at + 46 : at + 46 + n]
         if data[local : local + 4] != b"PK\x03\x04":
             raise PackageError("bad local header")
+        if local + 30 > len(data):
+            raise PackageError("truncated entry")
         skip = struct.unpack_from("<HH", data, local + 26)
         start = local + 30 + sum(skip)
         raw = data[start : start + packed]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -106,6 +107,31 @@ def validated(docs: DataFrame) -> DataFrame:
     return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, err_code string, err_field string, err_index int")
 
 
+def model_errors(models: DataFrame) -> DataFrame:
+    """validated() for models as JSON: (doc_id, blocks, styles, assets, meta); what is no JSON is a parse error."""
+
+    def rows(doc_id: int, *parts: str | None) -> Iterator[tuple]:
+        try:
+            blocks_, styles, assets, meta = (json.loads(p) if p else None for p in parts)
+        except ValueError:
+            yield (doc_id, "parse", None, None)
+            return
+        yield (doc_id, *(model.document_error(blocks_ or [], styles or [], assets or [], meta) or (None, None, None)))
+
+    return flat_map(models.select(F.col("doc_id").cast("bigint"), "blocks", "styles", "assets", "meta"), rows, "doc_id bigint, err_code string, err_field string, err_index int")
+
+
+def line_inlines(lines: DataFrame) -> DataFrame:
+    """(doc_id, seq, kind, body, target, style): top-level inlines of single lines (doc_id, line)."""
+
+    def rows(doc_id: int, line: str | None) -> Iterator[tuple]:
+        for i, x in enumerate(markdown.inlines(line or "")):
+            body = x["alt"] if x["kind"] == "image" else x["text"] if "text" in x else markdown.raw_inline(x["children"])
+            yield (doc_id, i, x["kind"], body, x.get("asset") or x.get("href"), x.get("style"))
+
+    return flat_map(lines.select(F.col("doc_id").cast("bigint"), "line"), rows, "doc_id bigint, seq int, kind string, body string, target string, style string")
+
+
 def wrapped(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with long plain lines broken."""
     return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), lambda i, t: [(i, markdown.wrap(t or ""))], "doc_id bigint, text string")

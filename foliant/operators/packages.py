@@ -12,15 +12,17 @@ from ..functions import markdown, model, odt, rules
 from . import blocks as B
 from .kernel import flat_map
 
+#: What is wrong with a null.
+NOTHING = "no content"
 ENTRIES = "path string, idx int, name string, method int, gp_flags int, crc32 bigint, comp_size bigint, uncomp_size bigint, payload binary"
 
 
 def entries(files: DataFrame, wanted: tuple[str, ...] | None = None, payload: bool = True) -> DataFrame:
-    """One row per entry of each archive (path, content); only the wanted names are unpacked. Unreadable archives have no rows."""
+    """One row per entry of each archive (path, content); only the wanted names are unpacked. Unreadable archives have no rows, nor has null."""
 
-    def rows(path: str, content: bytes) -> Iterator[tuple]:
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
         try:
-            for i, e in enumerate(odt.entries(content)):
+            for i, e in enumerate(odt.entries(content or b"")):
                 body = odt.extract(e) if payload and (wanted is None or e.name in wanted) else None
                 yield (path, i, e.name, e.method, e.flags, e.crc, len(e.raw), e.size, body)
         except odt.PackageError:
@@ -33,7 +35,7 @@ def validated(files: DataFrame) -> DataFrame:
     """(path, ok, error): whether each file is a package of a text document; larger files than the limit are not."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
-        why = "too large" if len(content) >= odt.FILE_MOST else odt.package_error(content)
+        why = NOTHING if content is None else "too large" if len(content) >= odt.FILE_MOST else odt.package_error(content)
         yield (path, why is None, why)
 
     return flat_map(files.select("path", "content"), rows, "path string, ok boolean, error string")
@@ -51,7 +53,7 @@ def texts(files: DataFrame) -> DataFrame:
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
         try:
-            yield (path, True, odt.plain_text(odt.content_of(content)))
+            yield (path, True, odt.plain_text(odt.content_of(content or b"")))
         except odt.PackageError:
             yield (path, False, None)
 
@@ -77,6 +79,9 @@ def imported(files: DataFrame) -> DataFrame:
     """(path, status, text): packages as Markdown."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
+        if content is None:
+            yield (path, "input", None)
+            return
         status, _, out, _ = B.convert_one("odt", "md", content, False)
         yield (path, status, out)
 
@@ -88,7 +93,7 @@ def imported_blocks(files: DataFrame) -> DataFrame:
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
         try:
-            got, _ = odt.import_content(odt.content_of(content))
+            got, _ = odt.import_content(odt.content_of(content or b""))
         except odt.PackageError:
             return
         for p, _, _, _, kind, level, *_, b in model.flat_blocks(got):
@@ -101,6 +106,9 @@ def repacked(files: DataFrame) -> DataFrame:
     """(path, ok, error, content): the same entries written anew, nothing compressed again."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
+        if content is None:
+            yield (path, False, NOTHING, None)
+            return
         try:
             yield (path, True, None, odt.repack(content))
         except odt.PackageError as x:
@@ -115,9 +123,19 @@ def template_merge(template: DataFrame, made: DataFrame) -> DataFrame:
 
 
 def presented(files: DataFrame, profile: rules.Profile) -> DataFrame:
-    """(path, content): packages with a profile's page and styles in styles.xml."""
+    """(path, content, error): packages with a profile's page and styles in styles.xml; unreadable ones have an error and no content."""
     present = profile.present
-    return flat_map(files.select("path", "content"), lambda p, c: [(p, odt.restyled(c, lambda x: rules.materialized(x, present)))], "path string, content binary")
+
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
+        if content is None:
+            yield (path, None, NOTHING)
+            return
+        try:
+            yield (path, odt.restyled(content, lambda x: rules.materialized(x, present)), None)
+        except (odt.PackageError, UnicodeDecodeError) as x:
+            yield (path, None, str(x))
+
+    return flat_map(files.select("path", "content"), rows, "path string, content binary, error string")
 
 
 def deflated(payload: DataFrame) -> DataFrame:

@@ -201,28 +201,6 @@ def xml_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", H.xml_escape(F.col("html"), True).alias("escaped"))
 
 
-@query("""WITH x AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS xs FROM pages),
-l AS (SELECT page_id, i, xs[i] AS href FROM x, unnest(generate_series(1, len(xs))) AS g(i)),
-n AS (SELECT *, CASE WHEN href IS NOT DISTINCT FROM lag(href) OVER (PARTITION BY page_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM l),
-k AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY i) AS island FROM n)
-SELECT page_id, CAST(island AS BIGINT) AS island, min(href) AS href, count(*) AS n FROM k GROUP BY page_id, island""")
-def link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring links to one place become one, over the links of each page."""
-    from pyspark.sql import Window as W
-
-    x = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("i", "href"))
-    order = W.partitionBy("page_id").orderBy("i")
-    x = x.withColumn("new", F.when(F.lag("i").over(order).isNotNull() & F.col("href").eqNullSafe(F.lag("href").over(order)), 0).otherwise(1))
-    x = x.withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return x.groupBy("page_id", "island").agg(F.min("href").alias("href"), F.count("*").alias("n"))
-
-
-@query("""SELECT n_nationkey, '| ' || replace(n_name, '|', '\\|') || ' | ' || replace(r_name, '|', '\\|') || ' |' AS row FROM nation JOIN region ON n_regionkey = r_regionkey""")
-def md_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
-    cell = H.escape_flat
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat(F.lit("| "), cell(F.col("n_name")), F.lit(" | "), cell(F.col("r_name")), F.lit(" |")).alias("row"))
-
 
 STYLE = r"""
 t AS (SELECT line_id, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, strlen(text) AS n FROM md),
@@ -243,37 +221,6 @@ def style_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters(spark, sf_dir).select("line_id", H.paragraph_style(F.col("text")).alias("style"))
 
 
-@query(with_md(L + r"""SELECT doc_id, min(line_no) FILTER (WHERE NOT in_fence AND regexp_matches(line, '^## ') AND contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'introduction')) AS first_line,
-  count(*) AS n_lines FROM p GROUP BY doc_id"""))
-def two_column_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line of the first heading of level 2 that names an introduction, null if none."""
-    x = lines.fenced(md(spark, sf_dir))
-    hit = ~F.col("in_fence") & F.col("line").rlike("^## ") & H.any_of(F.col("line"), ("introduction",))
-    return x.groupBy("doc_id").agg(F.min(F.when(hit, F.col("line_no"))).alias("first_line"), F.count("*").alias("n_lines"))
-
-
-@query("""WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_orderkey % 16 = 3 THEN 'salutation' WHEN o_orderkey % 16 = 6 THEN 'date' WHEN o_orderkey % 16 = 9 THEN 'stop' END AS kind FROM orders),
-s AS (SELECT *, min(ord) FILTER (WHERE kind = 'stop') OVER (PARTITION BY doc_id) AS stop FROM t)
-SELECT doc_id, min(ord) FILTER (WHERE kind = 'salutation' AND (stop IS NULL OR ord < stop)) AS salutation, min(ord) FILTER (WHERE kind = 'date' AND (stop IS NULL OR ord < stop)) AS date_line FROM s GROUP BY doc_id""")
-def letter_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First salutation and first date line before the heading that ends the search, in one aggregation."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    k = F.col("o_orderkey") % 16
-    per = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.min(F.when(k == 9, F.col("o_orderkey"))).alias("stop"), *(F.sort_array(F.collect_set(F.when(k == v, F.col("o_orderkey")))).alias(n) for n, v in (("s", 3), ("d", 6))))
-    first = lambda c: F.when(F.get(c, F.lit(0)) < F.coalesce("stop", F.lit(1 << 62)), F.get(c, F.lit(0)))
-    return per.select("doc_id", first("s").alias("salutation"), first("d").alias("date_line"))
-
-
-@query("""WITH c AS (SELECT doc_id, 1 AS stage, CAST(n_chars AS BIGINT) AS ord, CASE WHEN lang IS NULL THEN 'missing_field' WHEN n_chars % 7 = 0 THEN 'invalid_value' END AS err FROM documents
-UNION ALL SELECT doc_id, 2, CAST(doc_id % 10 AS BIGINT), CASE WHEN doc_id % 3 = 0 THEN 'invalid_enum' END FROM documents)
-SELECT doc_id, min_by(err, stage * 1000000000 + ord) FILTER (WHERE err IS NOT NULL) AS err_code, min_by(ord, stage * 1000000000 + ord) FILTER (WHERE err IS NOT NULL) AS err_index FROM c GROUP BY doc_id""")
-def validate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first error of each document among injected ones, in the order of stages."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    a = d.select("doc_id", F.lit(1).alias("stage"), F.col("n_chars").alias("ord"), F.when(F.col("lang").isNull(), "missing_field").when(F.col("n_chars") % 7 == 0, "invalid_value").alias("err_code"))
-    b = d.select("doc_id", F.lit(2).alias("stage"), (F.col("doc_id") % 10).alias("ord"), F.when(F.col("doc_id") % 3 == 0, "invalid_enum").alias("err_code"))
-    return blocks.first_errors(a.unionByName(b))
-
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -288,7 +235,10 @@ def diagnostics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.summary(_notes(spark, sf_dir))
 
 
-@query()
+@query("""WITH n AS (SELECT user_id AS doc_id, event_id AS seq, event_type AS code, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'warning' ELSE 'info' END AS severity FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM n)
+SELECT doc_id, '{"errors":' || count_if(severity = 'error') || ',"warnings":' || count_if(severity = 'warning') || ',"infos":' || count_if(severity = 'info') || ',"count":' || count(*) || ',"dropped":' || (max(total) - count(*)) || ',"diagnostics":['
+  || string_agg('{"severity":"' || severity || '","code":"' || code || '","stage":"import","message":"' || code || '"}', ',' ORDER BY seq) || ']}' AS json FROM k WHERE k <= 128 GROUP BY doc_id""")
 def diagnostics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.as_json(_notes(spark, sf_dir))
 
@@ -382,17 +332,6 @@ def unsupported_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.unsupported_terms(spark, [rules.parse(PROFILE)])
 
 
-@query(with_md("s AS (SELECT 1) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS INT) AS stream_idx, kind, level FROM md", fixtures.STREAMS))
-def block_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stream(spark, sf_dir).select("doc_id", "stream_idx", "kind", "level")
-
-
-@query("""SELECT p_partkey, '<style:style style:name="' || replace(p_brand, '&', '&amp;') || '" style:family="paragraph"><style:paragraph-properties fo:margin-top="' || CAST(p_size AS VARCHAR) || 'mm"/></style:style>' AS xml FROM part""")
-def style_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Style definitions as expressions, as rules.style_xml() writes them."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.select("p_partkey", F.concat(F.lit('<style:style style:name="'), H.xml_escape(F.col("p_brand"), True), F.lit('" style:family="paragraph"><style:paragraph-properties fo:margin-top="'), F.col("p_size").cast("string"), F.lit('mm"/></style:style>')).alias("xml"))
-
 
 @query(with_md("""n AS (SELECT * FROM md) SELECT id, name, regexp_matches(name, '^[/\\\\]') OR regexp_matches(name, '(^|[/\\\\])\\.\\.([/\\\\]|$)') AS unsafe,
   CASE WHEN ends_with(name, '.xml') THEN 'text/xml' WHEN ends_with(name, '.png') THEN 'image/png' WHEN ends_with(name, '.jpg') OR ends_with(name, '.jpeg') THEN 'image/jpeg' WHEN ends_with(name, '.gif') THEN 'image/gif'
@@ -411,14 +350,6 @@ def template_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.template_merge(t, made)
 
 
-@query("SELECT doc_id, true AS valid, strlen(text) AS bytes FROM documents")
-def utf8_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.is_valid_utf8("text").alias("valid"), F.octet_length("text").cast("bigint").alias("bytes"))
-
-
-@query()
-def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", packages.crc(F.col("text")).alias("crc"))
 
 
 @query("SELECT c_custkey, regexp_matches(n, '^[A-Za-z_:\\x{80}-\\x{10FFFF}][A-Za-z_:0-9.\\x{80}-\\x{10FFFF}-]*$') AS is_name, length(n) AS n_points, CAST(unicode(n) AS INT) AS first_point FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN 'é' || c_mktsegment WHEN 2 THEN '9' || c_name ELSE replace(c_name, '#', '_') END AS n FROM customer)")
@@ -452,10 +383,6 @@ def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("doc_id", *(F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")).alias(f"drift_{k}") for k in keep), (F.col("b.bytes") * 2 <= F.col("a.bytes") * 3).alias("ok_bytes"))
 
 
-@query()
-def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.blocks(md(spark, sf_dir))
-
 
 @query(with_md(L + f""", n AS (SELECT doc_id, {CLASS} AS class, line, in_fence, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM p)
 SELECT doc_id, CAST(count_if(NOT in_fence AND class = 'heading') AS BIGINT) AS headings, CAST(count_if(class = 'fence') // 2 + count_if(class = 'fence') % 2 AS BIGINT) AS codes, CAST(count_if(NOT in_fence AND class = 'quote') AS BIGINT) AS quotes FROM n GROUP BY doc_id"""))
@@ -466,64 +393,17 @@ def md_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("doc_id").agg(n("heading").alias("headings"), n("code").alias("codes"), n("quote").alias("quotes"))
 
 
-@query()
-def md_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.inlines(md(spark, sf_dir))
-
-
-@query()
-def md_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.cells(md(spark, sf_dir))
-
-
-@query()
-def md_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.wrapped(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-@query()
-def md_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.to_markdown(md(spark, sf_dir))
-
-
-@query(with_md("s AS (SELECT 1) SELECT doc_id, 'ok' AS status, CAST(NULL AS VARCHAR) AS err_code FROM md"))
-def convert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.to_markdown(md(spark, sf_dir)).select("doc_id", "status", "err_code")
-
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.exported(md(spark, sf_dir)).where("status = 'ok'").select(F.col("doc_id").cast("string").alias("path"), "content")
 
 
-@query()
-def odt_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packages(spark, sf_dir).select("path", F.length("content").alias("bytes"))
-
-
-@query(with_md("s AS (SELECT 1) SELECT CAST(doc_id AS VARCHAR) AS path, true AS ok, CAST(NULL AS VARCHAR) AS error FROM md"))
-def validate_package(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.validated(_packages(spark, sf_dir))
-
-
-@query(with_md("s AS (SELECT 1) SELECT CAST(doc_id AS VARCHAR) AS path, true AS ok FROM md"))
-def package_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.package_rule(packages.entries(_packages(spark, sf_dir), wanted=("mimetype",)))
-
 
 @query(with_md("s AS (SELECT 1) SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i - 1 AS INT) AS idx, names[i] AS name FROM (SELECT doc_id, ['mimetype', 'content.xml', 'styles.xml', 'meta.xml', 'META-INF/manifest.xml'] AS names FROM md), unnest(generate_series(1, 5)) AS g(i)"))
 def zip_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.entries(_packages(spark, sf_dir), payload=False).select("path", "idx", "name")
 
 
-@query()
-def odt_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.imported(_packages(spark, sf_dir))
-
-
-@query()
-def odt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.imported_blocks(_packages(spark, sf_dir))
-
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, true AS ok, coalesce(text, '') || chr(10) AS text FROM documents")
 def odt_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -532,16 +412,6 @@ def odt_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.texts(made.select(F.col("doc_id").cast("string").alias("path"), "content"))
 
 
-@query()
-def repack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packages.repacked(_packages(spark, sf_dir)).select("path", "ok", "error", F.length("content").alias("bytes"))
-
-
-@query()
-def present_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = rules.parse(PROFILE + "present:\n  page:\n    margins:\n      top: 20mm\n  styles:\n    Answer:\n      family: paragraph\n      margin-top: 4mm\n")
-    return packages.presented(_packages(spark, sf_dir), p).select("path", F.length("content").alias("bytes"))
-
 
 @query("SELECT doc_id AS id, text AS back FROM documents")
 def deflate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,3 +428,6 @@ def xml_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: CRC-32 of the check string of the algorithm.
 CRC_CHECK = zlib.crc32(b"123456789")
+
+
+from . import cases  # noqa: E402, F401  registers its queries

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.odt import FILE_MOST
+from ..operators.kernel import flat_map
 
 
 def read_binary(spark: SparkSession, path: str, most: int = FILE_MOST) -> DataFrame:
@@ -37,6 +40,38 @@ def write_packages(files: DataFrame, path: str) -> None:
     files.select("path", "content").write.mode("errorifexists").parquet(path)
 
 
+def write_files(files: DataFrame, folder: str, suffix: str = ".odt") -> DataFrame:
+    """(path, content) as one file for each row in a folder (a URI that pyarrow's file systems know); returns (path, file, error).
+
+    Names come from the last part of `path`, with a hash of the whole of it
+    where that isn't a plain name. A file is written under its final name by
+    the task that holds its row, so a task that runs again writes the same
+    bytes again; a null content writes nothing and has an error. Nothing is
+    written until the result is read.
+    """
+
+    def rows(path: str | None, content: bytes | None) -> Iterator[tuple]:
+        import hashlib
+        import re
+
+        from pyarrow import fs
+
+        if path is None or content is None:
+            yield (path, None, "no content")
+            return
+        name = path.rsplit("/", 1)[-1].removesuffix(suffix)
+        plain = re.sub(r"[^A-Za-z0-9._-]", "_", name)[:100]
+        if plain != path or plain.startswith("."):
+            plain = f"{plain.lstrip('.')}-{hashlib.sha1(path.encode()).hexdigest()[:12]}"
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        with system.open_output_stream(f"{base}/{plain}{suffix}") as out:
+            out.write(content)
+        yield (path, f"{folder}/{plain}{suffix}", None)
+
+    return flat_map(files.select("path", "content"), rows, "path string, file string, error string")
+
+
 def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("path", "content")
 

@@ -163,3 +163,32 @@ def test_presentation():
     assert 'fo:margin-top="2cm"' in xml
     O.tokens(xml.encode())
     assert R.patched('a="1" a="2"', "a", "x&y") == 'a="x&amp;y" a="2"'
+
+
+def test_files_that_others_can_open(spark, tmp_path):
+    import zipfile
+
+    from foliant.operators import packages
+    from foliant.sources import files
+
+    made = packages.exported(spark.createDataFrame([(1, "# a\n"), (2, "b\n")], "doc_id bigint, text string")).selectExpr("'x/y/' || doc_id AS path", "content")
+    made = made.unionByName(spark.createDataFrame([("plain", None), (None, bytearray(b"x"))], "path string, content binary"))
+    folder = f"file://{tmp_path}/out"
+    got = {r.path: r for r in files.write_files(made, folder).collect()}
+    assert got["plain"].error and got[None].error and got["plain"].file is None
+    for p in ("x/y/1", "x/y/2"):
+        with zipfile.ZipFile(got[p].file.removeprefix("file://")) as z:
+            assert z.testzip() is None and z.namelist()[0] == "mimetype"
+    assert {r.ok for r in packages.validated(files.read_packages(spark, folder)).collect()} == {True}
+
+
+def test_bad_packages_are_rows(spark):
+    from foliant.functions import rules
+    from foliant.operators import packages
+    from foliant.plans.cases import PACKAGES, PRESENT, faulty
+
+    bad = spark.createDataFrame([(n, None if faulty(n) is None else bytearray(faulty(n))) for n, *_ in PACKAGES], "path string, content binary")
+    assert packages.entries(bad).count() > 0 and packages.texts(bad).count() == len(PACKAGES)
+    assert packages.imported(bad).count() == len(PACKAGES) and packages.imported_blocks(bad).count() >= 0
+    shown = {r.path: r for r in packages.presented(bad, rules.parse(PRESENT)).collect()}
+    assert shown["null"].error and shown["cut short"].error and shown["sound"].content
