@@ -278,7 +278,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = 13, share: int = 20)
     pairs = F.sequence(F.lit(0), (F.size("spans") / 2).cast("int") - 1)
     run = (F.size("spans") > 0) & F.exists(pairs, lambda i: F.get("spans", i * 2 + 1) - F.get("spans", i * 2) >= window)
     n = covered(F.col("spans"))
-    bad = found.where(run | ((n > 0) & (share * n >= F.col("n_words")))).select(F.col("doc_id").alias("_bad")).distinct()
+    # written, so that its size is known before the join: small, it is sent to the documents; else both are shuffled
+    bad = written(found.where(run | ((n > 0) & (share * n >= F.col("n_words")))).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
     return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
