@@ -95,14 +95,18 @@ def segment(text: str, words: dict[str, float], longest: int = 24, unknown: floa
 
 
 def tokens(host: str, path: str, words: dict[str, float], cache: dict[str, list[str]]) -> list[str]:
-    """Words of the host and of the path, told apart; digits by their number."""
+    """Words of the host and of the path, told apart; a run of digits counts as `#` and its length."""
     out = []
     for kind, text in (("h", host), ("p", path.lower())):
-        run = ""
+        run, digits = "", 0
         for c in text + "\0":
+            if digits and not c.isdecimal():
+                out.append(f"{kind}:#{digits}")
+                digits = 0
             if c.isalpha():
                 run += c
                 continue
+            digits += c.isdecimal()
             if run:
                 cut = cache.get(run)
                 if cut is None:

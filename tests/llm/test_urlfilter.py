@@ -1,4 +1,5 @@
 import re
+import zlib
 
 from foliant.llm import urlfilter as U
 from foliant.llm.common import read_table
@@ -65,6 +66,22 @@ def test_bayes_separates():
     assert score("mycasino.example.org", "/win") > 0 > score("thelibrary.example.org", "/books")
 
 
+def test_tokens():
+    words = {"red": -1.0, "shop": -1.0}
+    assert U.tokens("redshop12.com", "/A/2024-7.html?", words, {}) == ["h:red", "h:shop", "h:#2", "h:com", "p:a", "p:#4", "p:#1", "p:html"]
+    assert U.tokens("", "", words, {}) == []
+
+
+def test_held_out_verdicts(spark, sf):
+    words = U.unigrams()
+    known = {(*hp, rule(*hp)[1]) for r in read_table(spark, sf, "pages").collect() for hp in [split(r.url)]}
+    known = sorted(x for x in known if x[2])
+    test = [x for x in known if zlib.crc32((x[0] + x[1]).encode()) % 4 == 0]
+    m = U.train([x for x in known if x not in test], words)
+    hit = [(m["prior"] + sum(m["odds"].get(t, 0.0) for t in U.tokens(h, p, words, {})) > 0) == (v == "block") for h, p, v in test]
+    assert len(hit) > 10 and sum(hit) >= 0.8 * len(hit)
+
+
 def test_bound(spark):
     d = spark.createDataFrame([(i, f"http://a{i}.com/{i}") for i in range(500)], "page_id bigint, url string")
     host, path = U.parts(U.F.col("url"))
