@@ -142,6 +142,21 @@ def tokens(xml: bytes) -> list[tuple[str, str, dict]]:
     return out
 
 
+def resolved(xml: bytes) -> list[tuple[str, str, int]]:
+    """(uri, local name, depth) of every start tag, by the innermost binding of its prefix; an unbound prefix has an empty uri."""
+    out: list[tuple[str, str, int]] = []
+    scopes: list[dict[str, str]] = [{}]
+    for kind, what, attrs in tokens(xml):
+        if kind == "end":
+            scopes.pop()
+        elif kind == "start":
+            own = {k.partition(":")[2]: v for k, v in attrs.items() if k == "xmlns" or k.startswith("xmlns:")}
+            scopes.append(scopes[-1] | own)
+            prefix, _, local = what.rpartition(":")
+            out.append((scopes[-1].get(prefix, ""), local, len(scopes) - 2))
+    return out
+
+
 def package_error(data: bytes) -> str | None:
     """Why a file is not a valid package, None if it is."""
     try:

@@ -55,12 +55,16 @@ def cells(docs: DataFrame) -> DataFrame:
     return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, CELLS)
 
 
-def stream(docs: DataFrame) -> DataFrame:
-    """The block stream: top-level blocks of the six kinds that rules know, numbered."""
+#: Blocks of a stream that rules see.
+STREAM_MOST = 32_768
+
+
+def stream(docs: DataFrame, most: int = STREAM_MOST) -> DataFrame:
+    """The block stream: top-level blocks of the six kinds that rules know, numbered; those behind the first `most` have no role."""
     kind = F.when(F.col("kind") == "quote", "blockquote").when(F.col("kind") == "code", "codeblock").otherwise(F.col("kind"))
     known = blocks(docs).where("depth = 0 AND kind IN ('heading', 'paragraph', 'list', 'table', 'quote', 'code')")
     own = F.array_sort(F.collect_list(F.struct("ord", kind.alias("kind"), "level", "text")))
-    return known.groupBy("doc_id").agg(own.alias("b")).select("doc_id", F.posexplode("b").alias("stream_idx", "b")).select("doc_id", "stream_idx", "b.kind", "b.level", "b.text")
+    return known.groupBy("doc_id").agg(own.alias("b")).select("doc_id", F.posexplode(F.slice("b", 1, most)).alias("stream_idx", "b")).select("doc_id", "stream_idx", "b.kind", "b.level", "b.text")
 
 
 def convert_one(source: str, target: str, payload: str | bytes, strict: bool, template: bytes | None = None, registry: Registry | None = None) -> tuple[str, model.Error | None, str | bytes | None, list]:
@@ -121,6 +125,18 @@ def model_errors(models: DataFrame) -> DataFrame:
     return flat_map(models.select(F.col("doc_id").cast("bigint"), "blocks", "styles", "assets", "meta"), rows, "doc_id bigint, err_code string, err_field string, err_index int")
 
 
+def metadata(docs: DataFrame, language: str = "en") -> DataFrame:
+    """(doc_id, title, author, language, created_unix_s, modified_unix_s): what a Markdown document is taken to say of itself."""
+    return docs.select(
+        F.col("doc_id").cast("bigint"),
+        F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("string").alias("author"),
+        F.lit(language).alias("language"),
+        F.lit(0).cast("bigint").alias("created_unix_s"),
+        F.lit(0).cast("bigint").alias("modified_unix_s"),
+    )
+
+
 def line_inlines(lines: DataFrame) -> DataFrame:
     """(doc_id, seq, kind, body, target, style): top-level inlines of single lines (doc_id, line)."""
 

@@ -33,56 +33,76 @@ def classes(docs: DataFrame) -> DataFrame:
     return lines(docs).select("doc_id", "line_no", H.line_class(F.col("line")).alias("class"), F.octet_length("raw").alias("bytes"))
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """One row per document: the 18 structure counters, from one fold over its lines and a few counts over its text."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+#: Counters of lines, each with its test.
+COUNTED = {
+    "headings": lambda x: F.startswith(x, F.lit("#")),
+    "lists": lambda x: F.startswith(x, F.lit("- ")) | F.startswith(x, F.lit("1. ")),
+    "tables": lambda x: F.startswith(x, F.lit("```table")) | F.startswith(x, F.lit("| ")),
+    "table_sep_lines": lambda x: F.startswith(x, F.lit("| --- |")),
+    "code_fence_lines": H.fence,
+    "footnote_defs": lambda x: x.rlike(r"^\[\^[0-9]+\]: "),
+    "toc_refheading_links": H.toc_link,
+    "stage_labels": H.stage_label,
+    "note_quote_lines": lambda x: F.startswith(x, F.lit("> Note:")),
+}
+
+
+def _fold(xs: Column) -> Column:
+    """COUNTED, the longest plain line and the fence lines of an array of lines, in one pass."""
     one = lambda c: F.when(c, 1).otherwise(0)
-    simple = {
-        "headings": lambda x: F.startswith(x, F.lit("#")),
-        "lists": lambda x: F.startswith(x, F.lit("- ")) | F.startswith(x, F.lit("1. ")),
-        "tables": lambda x: F.startswith(x, F.lit("```table")) | F.startswith(x, F.lit("| ")),
-        "table_sep_lines": lambda x: F.startswith(x, F.lit("| --- |")),
-        "code_fence_lines": H.fence,
-        "footnote_defs": lambda x: x.rlike(r"^\[\^[0-9]+\]: "),
-        "toc_refheading_links": H.toc_link,
-        "stage_labels": H.stage_label,
-        "note_quote_lines": lambda x: F.startswith(x, F.lit("> Note:")),
-    }
-    names = [*simple, "max_non_url_line", "fenced"]
-    zero = F.struct(*(F.lit(0).alias(n) for n in names))
 
     def step(a: Column, x: Column) -> Column:
-        own = [(a[n] + one(f(x))).alias(n) for n, f in simple.items()]
+        own = [(a[n] + one(f(x))).alias(n) for n, f in COUNTED.items()]
         plain = (a["fenced"] % 2 == 0) & ~H.structured(x) & ~H.has_url(x)
         longest = F.when(plain, F.greatest(a["max_non_url_line"], F.octet_length(x))).otherwise(a["max_non_url_line"])
         return F.struct(*own, longest.alias("max_non_url_line"), (a["fenced"] + one(H.fence(x))).alias("fenced"))
 
-    folded = docs.select("doc_id", t.alias("_t"), F.aggregate(F.split(t, LF, -1), zero, step).alias("m"))
-    refs, all_defs = F.regexp_count("_t", F.lit(r"\[\^[0-9]+\]")), F.regexp_count("_t", F.lit(r"\[\^[0-9]+\]:"))
+    return F.aggregate(xs, F.struct(*(F.lit(0).alias(n) for n in [*COUNTED, "max_non_url_line", "fenced"])), step)
+
+
+def _neighbours(xs: Column) -> list[Column]:
+    """Captions right between two table rows, separators right behind separators."""
+    row = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| "))
+    sep = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| --- |"))
+    count = lambda f: F.size(F.filter(F.transform(xs, f), lambda v: v)).cast("bigint")
+    return [
+        count(lambda x, i: H.caption(x) & row(F.get(xs, i - 1)) & row(F.get(xs, i + 1))).alias("caption_interleaves"),
+        count(lambda x, i: sep(x) & sep(F.get(xs, i - 1))).alias("consecutive_separators"),
+    ]
+
+
+def measured(df: DataFrame, keys: list[str], **texts: Column) -> DataFrame:
+    """The keys, and for each named text (null: empty) a struct of its structure counters, all in the row."""
+    t = {n: F.coalesce(c, F.lit("")) for n, c in texts.items()}
+    split = df.select(*keys, *(F.struct(c.alias("t"), F.split(c, LF, -1).alias("xs")).alias(n) for n, c in t.items()))
+    folded = split.select(*keys, *(F.struct(f"{n}.t", f"{n}.xs", _fold(F.col(f"{n}.xs")).alias("m")).alias(n) for n in t))
     big = lambda c: c.cast("bigint")
-    return folded.select(
-        "doc_id",
-        big(F.octet_length("_t")).alias("bytes"),
-        *(big(F.col(f"m.{n}")).alias(n) for n in [*simple, "max_non_url_line"]),
-        big(F.regexp_count("_t", F.lit(r"\]\("))).alias("links"),
-        big(F.regexp_count("_t", F.lit(r"\[note:"))).alias("notes"),
-        big(F.regexp_count("_t", F.lit(r"\[odt:unsupported "))).alias("placeholders"),
-        big(refs - all_defs).alias("footnote_refs"),
-        big(H.raw_tags(F.col("_t"))).alias("raw_xml_like_tokens"),
-    )
+
+    def counters(n: str) -> Column:
+        s = F.col(f"{n}.t")
+        found = lambda p: big(F.regexp_count(s, F.lit(p)))
+        return F.struct(
+            big(F.octet_length(s)).alias("bytes"),
+            *(big(F.col(f"{n}.m.{k}")).alias(k) for k in [*COUNTED, "max_non_url_line"]),
+            found(r"\]\(").alias("links"),
+            found(r"\[note:").alias("notes"),
+            found(r"\[odt:unsupported ").alias("placeholders"),
+            (found(r"\[\^[0-9]+\]") - found(r"\[\^[0-9]+\]:")).alias("footnote_refs"),
+            big(H.raw_tags(s)).alias("raw_xml_like_tokens"),
+            *_neighbours(F.col(f"{n}.xs")),
+        )
+
+    return folded.select(*keys, *(counters(n).alias(n) for n in t))
+
+
+def metrics(docs: DataFrame) -> DataFrame:
+    """One row per document: the 18 structure counters, from one fold over its lines and a few counts over its text."""
+    return measured(docs, ["doc_id"], m=F.col("text")).select("doc_id", "m.*").drop("caption_interleaves", "consecutive_separators")
 
 
 def table_neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, caption_interleaves, consecutive_separators): captions between two table rows, separators behind separators."""
-    xs = F.split(F.coalesce("text", F.lit("")), LF, -1)
-    row = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| "))
-    sep = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| --- |"))
-    count = lambda f: F.size(F.filter(F.transform("xs", f), lambda v: v)).cast("bigint")
-    return docs.select("doc_id", xs.alias("xs")).select(
-        "doc_id",
-        count(lambda x, i: H.caption(x) & row(F.get("xs", i - 1)) & row(F.get("xs", i + 1))).alias("caption_interleaves"),
-        count(lambda x, i: sep(x) & sep(F.get("xs", i - 1))).alias("consecutive_separators"),
-    )
+    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), LF, -1).alias("xs")).select("doc_id", *_neighbours(F.col("xs")))
 
 
 def fenced(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,27 @@ def package_rule(zip_entries: DataFrame) -> DataFrame:
     return zip_entries.groupBy("path").agg((F.bool_or(F.coalesce(first, F.lit(False))) & has(odt.CONTENT) & has(odt.MANIFEST)).alias("ok"))
 
 
+def round_trip(files: DataFrame) -> DataFrame:
+    """(path, status, before, after): each package as Markdown, and as Markdown again behind a package made of that.
+
+    status is the first step's that isn't ok; the texts of later steps are null. Null content is `input`.
+    """
+
+    def rows(path: str, content: bytes | None) -> Iterator[tuple]:
+        if content is None:
+            yield (path, "input", None, None)
+            return
+        status, _, before, _ = B.convert_one("odt", "md", content, False)
+        made = after = None
+        if status == "ok":
+            status, _, made, _ = B.convert_one("md", "odt", before, False)
+        if made is not None:
+            status, _, after, _ = B.convert_one("odt", "md", made, False)
+        yield (path, status, before, after)
+
+    return flat_map(files.select("path", "content"), rows, "path string, status string, before string, after string")
+
+
 def texts(files: DataFrame) -> DataFrame:
     """(path, ok, text): plain text of each package."""
 
@@ -168,5 +189,18 @@ def xml_tokens(docs: DataFrame) -> DataFrame:
     return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, seq int, kind string, name string")
 
 
+def xml_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, seq, uri, local, depth): start tags of XML text with their namespaces; malformed text has none."""
+
+    def rows(doc_id: int, text: str | None) -> Iterator[tuple]:
+        try:
+            for i, x in enumerate(odt.resolved((text or "").encode())):
+                yield (doc_id, i, *x)
+        except odt.PackageError:
+            return
+
+    return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, seq int, uri string, local string, depth int")
+
+
 def crc(payload: Column) -> Column:
     return F.crc32(payload.cast("binary"))

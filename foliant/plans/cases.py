@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import markdown, odt, rules
-from ..operators import blocks, packages
+from ..operators import blocks, gates, packages
 from ..operators.kernel import flat_map
+from . import catalog, fixtures
 from .catalog import query
 
 
@@ -475,6 +476,30 @@ def odt_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.imported(office_packages(spark, sf_dir))
 
 
+#: What a nested list loses when it is read back: its second line's indent, and the empty item, which begins a list of its own.
+AGAIN = IMPORTED.replace("  in\n2. \n", "in\n1. \n")
+
+
+@query(f"SELECT CAST(p_partkey AS VARCHAR) AS path, 'ok' AS status, replace({text(IMPORTED.replace('`[note: 1n]`', '`[^1]`'))}, '@', p_name) || '[^1]: 1n' || chr(10) AS before, replace({text(AGAIN.replace('`[note: 1n]`', '`[^1]`'))}, '@', p_name) || '[^1]: 1n' || chr(10) AS after FROM part")
+def md_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same packages as Markdown, and as Markdown once more behind packages made of that."""
+    return packages.round_trip(office_packages(spark, sf_dir))
+
+
+#: A second version of each document: the same, twice as long, empty, with headings, links or table rows before it.
+SECOND = """CASE doc_id % 6 WHEN 0 THEN text WHEN 1 THEN text || text WHEN 2 THEN '' WHEN 3 THEN repeat('# h' || chr(10), 9) || text WHEN 4 THEN repeat('[l](u) ', 33) || chr(10) || text ELSE repeat('| r |' || chr(10), 8) || text END"""
+_ROUND = catalog.SHAPE | {"heading_drift": "abs(headings - headings0) <= 8", "table_drift": "abs(tables - tables0) <= 8", "link_drift": "abs(links - links0) <= 32", "byte_drift": "bytes * 2 <= bytes0 * 3"}
+
+
+@query(f"WITH src AS ({fixtures.MD_DOCS}), md AS (SELECT doc_id * 2 AS doc_id, text FROM src UNION ALL SELECT doc_id * 2 + 1, {SECOND} FROM src), {catalog.COUNTERS}, "
+    f"a AS (SELECT doc_id // 2 AS doc_id, {' AND '.join(f'({g})' for g in catalog.SOURCE.values())} AS ok_source, headings AS headings0, tables AS tables0, links AS links0, bytes AS bytes0 FROM m WHERE doc_id % 2 = 0), "
+    f"b AS (SELECT * REPLACE (doc_id // 2 AS doc_id) FROM m WHERE doc_id % 2 = 1) SELECT doc_id, ok_source, {', '.join(f'{g} AS ok_{n}' for n, g in _ROUND.items())}, ok_source AND {' AND '.join(f'({g})' for g in _ROUND.values())} AS ok FROM a JOIN b USING (doc_id)")
+def roundtrip_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of a round trip, over pairs of which some drift."""
+    pairs = catalog.md(spark, sf_dir).select("doc_id", F.col("text").alias("before"), F.expr(SECOND).alias("after"))
+    return gates.round_trip(pairs, key="doc_id")
+
+
 WRITE = "# @ & co\nplain **b** *i* `c` [l](u) ![a](p.png) {.My_Mark|m}\nDear @\n- one\n  - in\n- two\n1. x\n> q\n```\nk < 1\nj\n```\n| h |\n| --- |\n| @ |\n"
 WRITTEN = (
     '<text:h text:style-name="Heading_20_1" text:outline-level="1">@ &amp; co</text:h>'

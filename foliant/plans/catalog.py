@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import heuristics as H
 from ..functions import rules
-from ..operators import blocks, diagnostics, lines, packages, roles
+from ..operators import blocks, diagnostics, gates, lines, packages, roles
 from . import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,6 +243,13 @@ def diagnostics_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.as_json(_notes(spark, sf_dir))
 
 
+@query("""WITH n AS (SELECT user_id AS doc_id, event_id AS seq, event_type AS code, CASE WHEN event_id % 11 = 0 THEN 'error' WHEN event_id % 3 = 0 THEN 'warn' ELSE 'info' END AS severity FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM n)
+SELECT doc_id, string_agg('diag: ' || severity || ': ' || code || chr(10), '' ORDER BY seq) AS text FROM k WHERE k <= 128 GROUP BY doc_id""")
+def diagnostics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.as_text(_notes(spark, sf_dir))
+
+
 PROFILE = """profile: threads
 version: 1
 roles:
@@ -362,26 +369,43 @@ def xml_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("c_custkey", H.xml_name(F.col("n")).alias("is_name"), F.size("p").cast("bigint").alias("n_points"), F.get("p", F.lit(0)).alias("first_point"))
 
 
-GATES = {"placeholders": 8, "max_non_url_line": 240, "raw_xml_like_tokens": 16, "notes": 0, "stage_labels": 3}
+#: The counters with those of neighbouring lines, as one relation by doc_id.
+COUNTERS = METRICS.replace("\nSELECT c.doc_id", "\n, m18 AS (SELECT c.doc_id").rstrip() + r"""),
+m AS (SELECT m18.*, CAST(len(list_filter(range(1, len(xs) + 1), lambda i: starts_with(xs[i], 'Table') AND contains(xs[i], ' - ') AND i > 1 AND i < len(xs) AND starts_with(xs[i - 1], '| ') AND starts_with(xs[i + 1], '| '))) AS BIGINT) AS caption_interleaves,
+  CAST(len(list_filter(range(2, len(xs) + 1), lambda i: starts_with(xs[i], '| --- |') AND starts_with(xs[i - 1], '| --- |'))) AS BIGINT) AS consecutive_separators FROM m18 JOIN ls USING (doc_id))"""
+#: The gates of any version of a document, and those of a conversion's result.
+SHAPE = {
+    "bytes": "bytes > 0", "line": "max_non_url_line <= 240", "raw_tokens": "raw_xml_like_tokens <= 16", "separators": "table_sep_lines <= tables + 4", "fence_lines": "code_fence_lines >= 0",
+    "fences_balanced": "code_fence_lines % 2 = 0", "notes": "notes = 0", "footnote_defs": "footnote_defs >= 0", "footnote_refs": "footnote_refs >= footnote_defs", "toc_links": "toc_refheading_links <= 24",
+    "stage_labels": "stage_labels <= 3", "note_quotes": "note_quote_lines >= 0", "captions": "caption_interleaves = 0", "separator_runs": "consecutive_separators = 0",
+}
+SOURCE = SHAPE | {"headings": "headings >= 0", "placeholders": "placeholders <= 8"}
+
 
+def both(gates: dict[str, str]) -> str:
+    return ", ".join(f"{g} AS ok_{n}" for n, g in gates.items()) + ", " + " AND ".join(f"({g})" for g in gates.values()) + " AS ok"
 
-@query(with_md(METRICS.replace("\nSELECT c.doc_id", "\n, m AS (SELECT c.doc_id").rstrip() + ") SELECT doc_id, " + ", ".join(f"{k} <= {v} AS ok_{k}" for k, v in GATES.items()) + ", code_fence_lines % 2 = 0 AS ok_fences FROM m"))
+
+@query(with_md(COUNTERS + f" SELECT doc_id, {both(SOURCE | {'headings': 'headings >= 2', 'fence_lines': 'code_fence_lines >= 2', 'note_quotes': 'note_quote_lines >= 1'})} FROM m"))
 def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document's counters keep within their limits."""
-    m = lines.metrics(md(spark, sf_dir))
-    return m.select("doc_id", *((F.col(k) <= v).alias(f"ok_{k}") for k, v in GATES.items()), (F.col("code_fence_lines") % 2 == 0).alias("ok_fences"))
+    return gates.source(md(spark, sf_dir), gates.Limits(headings=2, fence_lines=2, note_quotes=1))
 
 
-@query()
+@query(with_md(L + r""", t AS (SELECT *, starts_with(raw, '[') AND contains(raw, '](#__RefHeading') AS toc FROM l WHERE raw <> ''),
+r AS (SELECT *, sum(CASE WHEN toc THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS rest FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, rest, toc ORDER BY line_no) AS k FROM r),
+n AS (SELECT doc_id, count(*) AS lines, count_if(toc) AS links, sum(strlen(raw)) AS bytes FROM k WHERE NOT toc OR k <= 24 GROUP BY doc_id),
+o AS (SELECT doc_id, strlen(text) AS bytes, len(regexp_extract_all(text, '\]\(')) AS links FROM md),
+a AS (SELECT doc_id, count_if(NOT toc AND contains(raw, '](')) AS others FROM t GROUP BY doc_id)
+SELECT o.doc_id, CAST(0 AS BIGINT) AS drift_headings, CAST(0 AS BIGINT) AS drift_tables, CAST(o.links - n.links - others AS BIGINT) AS drift_links, CAST(o.bytes - n.bytes - n.lines + 1 AS BIGINT) AS drift_bytes, true AS ok_bytes
+FROM o JOIN n USING (doc_id) JOIN a USING (doc_id)""", fixtures.MD_TOC))
 def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters before and after a conversion, their absolute differences, and whether the size stays within 3/2."""
-    src = md(spark, sf_dir)
-    after = lines.metrics(blocks.to_markdown(src).where("status = 'ok'").select("doc_id", F.col("output").alias("text")))
-    a, b = lines.metrics(src).alias("a"), after.alias("b")
-    keep = ("headings", "tables", "links", "bytes")
-    j = a.join(b, "doc_id")
-    return j.select("doc_id", *(F.abs(F.col(f"a.{k}") - F.col(f"b.{k}")).alias(f"drift_{k}") for k in keep), (F.col("b.bytes") * 2 <= F.col("a.bytes") * 3).alias("ok_bytes"))
-
+    """Counters before and after contents lists are capped, their absolute differences, and whether the size stays within 3/2."""
+    src = toc(spark, sf_dir)
+    left = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    after = lines.toc_capped(src).groupBy("doc_id").agg(F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("after"))
+    return gates.drift(src.select("doc_id", F.col("text").alias("before")).join(after, "doc_id"))
 
 
 @query(with_md(L + f""", n AS (SELECT doc_id, {CLASS} AS class, line, in_fence, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM p)
@@ -426,6 +450,20 @@ def xml_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.xml_tokens(n.select(F.col("n_nationkey").alias("doc_id"), xml.alias("text")))
 
 
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS doc_id, CAST(seq AS INT) AS seq, replace(uri, '@', n_name) AS uri, local, CAST(depth AS INT) AS depth
+FROM nation, (VALUES (0, 'u1', 'r', 0), (1, 'u2 @', 'x', 1), (2, 'u3', 'y', 2), (3, 'u2 @', 'z', 2), (4, 'u1', 'x', 1), (5, '', 'w', 1), (6, 'd', 'v', 1), (7, '', 'p', 1)) v(seq, uri, local, depth)""")
+def xml_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start tags by the innermost binding of their prefix: bound again inside, out of scope again, default, unbound."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    xml = F.concat(F.lit('<a:r xmlns:a="u1"><a:x xmlns:a="u2 '), F.col("n_name"), F.lit('"><a:y xmlns:a="u3"/><a:z/></a:x><a:x/><w/><v xmlns="d"/><b:p/></a:r>'))
+    return packages.xml_names(n.select(F.col("n_nationkey").alias("doc_id"), xml.alias("text")))
+
+
+@query("SELECT doc_id, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS author, 'en' AS language, CAST(0 AS BIGINT) AS created_unix_s, CAST(0 AS BIGINT) AS modified_unix_s FROM documents")
+def md_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.metadata(md(spark, sf_dir))
+
+
 #: CRC-32 of the check string of the algorithm.
 CRC_CHECK = zlib.crc32(b"123456789")
 
