@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.odt import FILE_MOST
@@ -12,16 +12,21 @@ from ..operators.kernel import flat_map
 
 
 def read_binary(spark: SparkSession, path: str, most: int = FILE_MOST) -> DataFrame:
-    """(path, length, content, readable): whole files; a file of the limit or more is not read but listed."""
+    """(path, length, content, readable): whole files; a file of the limit or more is not read but listed. Spark's reader passes over empty files."""
     files = spark.read.format("binaryFile").load(path)
     small = F.col("length") < most
     return files.select("path", "length", F.when(small, F.col("content")).alias("content"), small.alias("readable"))
 
 
+def as_text(content: Column) -> Column:
+    """Bytes as text, null if they are no UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
+
+
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, path, text): one row per file; doc_id is a hash of its path."""
+    """(doc_id, path, text): one row per file; doc_id is a hash of its path. What is no UTF-8 has a null text."""
     files = read_binary(spark, path).where("readable")
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", F.decode("content", "utf-8").alias("text"))
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", as_text(F.col("content")).alias("text"))
 
 
 def read_packages(spark: SparkSession, path: str) -> DataFrame:
