@@ -14,11 +14,15 @@ root of its component inside the tile. A pair that meets in several cells is
 counted where it meets first: in the first table, and there in the smaller of
 the two home cells that both share.
 
-Blocks, tables and probes follow the number of different vectors (SCALES): more
-blocks make cells finer, so that a vector meets a bounded number of unrelated
-ones at any size, and more tables and probes keep the recall. Every row is
-indexed. At a cosine of 0.95 in 64 dimensions, tests measure a recall of at
-least 0.9 for each line of SCALES; above it recall is higher.
+Blocks, tables and probes are the same at any size, so whether two vectors link
+follows from these two alone and no row more or less changes it. The price is
+that a vector meets unrelated ones in proportion to the rows. Full vectors are
+only fetched for rows of a tile that a sketch of SKETCH numbers leaves with a
+partner; products of sketches bound the cosine from above, so this loses no
+link. A caller may name another line of SCALES: more blocks make cells finer,
+more tables and probes keep the recall. Every row is indexed. At a cosine of
+0.95 in 64 dimensions, tests measure a recall of at least 0.9 for each line;
+above it recall is higher.
 
 Edge cases: a vector that is null, empty, zero or holds null or non-finite
 components links with nothing and is its own component; vectors of different
@@ -44,18 +48,18 @@ from .common import components, written
 
 
 class Scale(NamedTuple):
-    most: float
     blocks: int
     tables: int
     probes: int
 
 
-#: Settings for up to so many different vectors. Two random directions of 64 dimensions met in a table of 2 and 3 blocks
-#: with probabilities near 1e-5 and 3e-8 (of 4 blocks, never in 2e8 pairs), so a vector meets some 130 and 180 unrelated ones at the
-#: ends of these lines.
-SCALES = (Scale(2e6, 2, 6, 8), Scale(5e8, 3, 12, 16), Scale(float("inf"), 4, 32, 16))
+#: Settings to choose from, the first by default; the number of vectors chooses none. Two random directions of 64 dimensions
+#: met in a table of 2 and 3 blocks with probabilities near 1e-5 and 3e-8 (of 4 blocks, never in 2e8 pairs).
+SCALES = (Scale(2, 6, 8), Scale(3, 12, 16), Scale(4, 32, 16))
 #: Rows of a chunk of a crowded cell; groups of at most SMALL rows are compared together.
 TILE, SMALL = 512, 32
+#: Numbers of a sketch, and room for the rounding of its products.
+SKETCH, SLACK = 16, 1e-5
 #: Standard deviation, in a projected dimension, of the difference of two unit vectors at the threshold; the cells have volume 1.
 CELL = 0.2
 
@@ -99,7 +103,7 @@ def cell_keys(points: np.ndarray, salt: int) -> np.ndarray:
 def cells(x: np.ndarray, threshold: float, scale: Scale, seed: int = 8) -> np.ndarray:
     """(n, tables, 1 + probes) names of the home cell and the cells to visit; x: unit vectors as rows."""
     n, d = x.shape
-    _, blocks, tables, probes = scale
+    blocks, tables, probes = scale
     rng, r = np.random.default_rng([seed, d]), roots()
     size = CELL / np.sqrt(2 - 2 * threshold)
     out = np.empty((n, tables, 1 + probes), np.int64)
@@ -117,25 +121,39 @@ def cells(x: np.ndarray, threshold: float, scale: Scale, seed: int = 8) -> np.nd
     return out
 
 
+def sketches(x: np.ndarray, seed: int = 9) -> np.ndarray:
+    """(n, SKETCH): unit vectors on a few orthonormal directions, and the length of the rest.
+
+    x.y is the product on these directions and that of the rests, which is at most the product of their lengths.
+    """
+    d = x.shape[1]
+    q = np.linalg.qr(np.random.default_rng([seed, d]).standard_normal((d, SKETCH - 1)))[0]
+    out = np.zeros((len(x), SKETCH), np.float32)
+    y = x @ q
+    out[:, : y.shape[1]] = y
+    out[:, -1] = np.sqrt(np.maximum(1 - (y * y).sum(axis=1), 0))
+    return out
+
+
 def hashed(classes: DataFrame, threshold: float, scale: Scale) -> DataFrame:
-    """(id, keys): the cells of every class of vectors."""
+    """(id, keys, sketch): the cells of every class of vectors."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vecs = b.column(1)
             size = np.diff(np.asarray(vecs.offsets))
             flat, offs = np.asarray(vecs.values, dtype=np.float64), np.asarray(vecs.offsets)
-            out = np.zeros((len(size), scale.tables * (1 + scale.probes)), np.int64)
+            out, short = np.zeros((len(size), scale.tables * (1 + scale.probes)), np.int64), np.zeros((len(size), SKETCH), np.float32)
             for d in np.unique(size):
                 own = np.flatnonzero(size == d)
                 x = flat[offs[own][:, None] + np.arange(d)]
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                out[own] = cells(x, threshold, scale).reshape(len(own), -1)
-            ends = np.arange(len(size) + 1) * out.shape[1]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.ravel()))], ["id", "keys"])
+                out[own], short[own] = cells(x, threshold, scale).reshape(len(own), -1), sketches(x)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel())) for v in (out, short)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "keys", "sketch"])
 
-    return classes.select("id", "vec").mapInArrow(keys, "id bigint, keys array<bigint>")
+    return classes.select("id", "vec").mapInArrow(keys, "id bigint, keys array<bigint>, sketch array<float>")
 
 
 def same_table(kx: np.ndarray, ky: np.ndarray) -> np.ndarray:
@@ -215,8 +233,9 @@ def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, scale: Scale | None = None, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors at cosine >= threshold), component_id, kept.
 
-    scale: blocks, tables and probes; by default the line of SCALES for the number of different vectors.
+    scale: blocks, tables and probes; by default the first line of SCALES.
     """
+    scale = scale or SCALES[0]
     vec = F.col("vec")
     src = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vec"))
     fine = F.coalesce(
@@ -229,9 +248,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, scale: Scale |
     # one row of each class: the row of its smallest vec_id, or any where none has one
     one = good.join(count, "id").where("vec_id <=> low").dropDuplicates(["id"]).select("id", "m", "low", "vec")
     one = written(one, "classes")
-    if scale is None:
-        rows = one.count()
-        scale = next(c for c in SCALES if rows <= c.most)
     keyed = written(hashed(one, threshold, scale), "cells")
     wide = 1 + scale.probes
     visits = keyed.select("id", F.posexplode("keys").alias("at", "cell")).select("id", "cell", (F.col("at") / wide).cast("int").alias("t"), (F.col("at") % wide == 0).alias("home"))
@@ -248,7 +264,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, scale: Scale |
         "id", "cell", "t", "home", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"),
         F.when(F.col("c") == F.col("o"), F.lit(0)).otherwise(F.when(F.col("c") < F.col("o"), F.lit(1)).otherwise(F.lit(2))).alias("side"),
     )
-    tiles = tiles.join(one.select("id", "m", "vec"), "id").join(keyed, "id")
+    tiles = tiles.join(keyed.select("id", "sketch"), "id")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in whole_tiles(batches):
+            x = np.asarray(b.column(b.schema.get_field_index("sketch")).flatten(), dtype=np.float64).reshape(b.num_rows, SKETCH)
+            tile = np.stack([b.column(c).to_numpy() for c in ("cell", "a", "b")])
+            home, side = b.column("home").to_numpy(zero_copy_only=False), b.column("side").to_numpy()
+            starts = np.flatnonzero(np.append(True, (tile[:, 1:] != tile[:, :-1]).any(axis=0)))
+            i, j = pairs(x, starts, np.append(starts[1:], b.num_rows), threshold - SLACK)
+            due = (home[i] | home[j]) & ((side[i] == 0) | (side[i] != side[j]))
+            rest = b.take(pa.array(np.unique(np.concatenate([i[due], j[due]]))))
+            yield rest.select(["id", "cell", "t", "home", "a", "b", "side"])
+
+    # the rows of a tile, 2 x TILE at most on average, come one behind the other
+    tiles = tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(near, "id bigint, cell bigint, t int, home boolean, a int, b int, side int")
+    # written, as AQE can't tell the size of what a function returns
+    tiles = written(tiles, "near").join(one.select("id", "m", "vec"), "id").join(keyed.select("id", "keys"), "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_tiles(batches):
@@ -265,7 +297,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, scale: Scale |
                 out = tile_links(here["id"], here["m"].astype(float), here["home"].astype(bool), here["side"], x, keys[own], here["t"], here["cell"], starts, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["id", "n", "root"])
 
-    # the rows of a tile, 2 x TILE at most on average, come one behind the other
     tiles = tiles.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b")
     found = written(tiles.mapInArrow(compare, "id bigint, n bigint, root bigint"), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("n"))

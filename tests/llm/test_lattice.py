@@ -68,6 +68,36 @@ def test_recall_and_counts(spark, cloud, monkeypatch):
         assert all(r.kept == (r.component_id == r.vec_id) for r in got)
 
 
+def test_links_do_not_follow_the_number_of_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, g = rng.normal(size=(2, 300, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    g -= (g * a).sum(1, keepdims=True) * a
+    b = 0.951 * a + np.sqrt(1 - 0.951**2) * g / np.linalg.norm(g, axis=1, keepdims=True)
+    x = np.concatenate([a, b])
+    d = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    few = sorted(tuple(r) for r in L.near_duplicates(d).collect())
+    assert 0.9 * 600 <= sum(r[1] for r in few) <= 600
+    # the same rows in a table that says it has more
+    for rows in (2_000_001, 500_000_001):
+        monkeypatch.setattr(type(d), "count", lambda _, rows=rows: rows)
+        assert sorted(tuple(r) for r in L.near_duplicates(d).collect()) == few
+    monkeypatch.undo()
+    # and among others that link with nothing here
+    more = spark.createDataFrame([(1000 + i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(3000, 64)))], d.schema)
+    assert sorted(tuple(r) for r in L.near_duplicates(d.unionByName(more)).where("vec_id < 1000").collect()) == few
+
+
+@pytest.mark.parametrize("d", [1, 8, 15, 16, 64])
+def test_sketches_bound_the_cosine(d):
+    rng = np.random.default_rng(d)
+    a = rng.normal(size=(500, d))
+    b = a + rng.normal(size=(500, d)) * rng.choice([0.0, 0.1, 0.3], 500)[:, None]
+    a, b = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (a, b))
+    bound = (L.sketches(a).astype(float) * L.sketches(b)).sum(1)
+    assert (bound >= (a * b).sum(1) - L.SLACK).all()
+
+
 def test_cases(spark):
     v = [1.0] + [0.0] * 7
     rows = [(1, v), (2, v), (2, v), (None, v), (3, None), (4, []), (5, [0.0] * 8), (6, [float("nan")] * 8), (7, [None] * 8), (8, [float("inf")] + v[1:]), (9, [1.0, 0.0]), (10, [3.0] + [0.0] * 7), (11, [-1.0] + v[1:])]
