@@ -13,6 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BATCH = 4096
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Short rows of which much is made, dealt to all cores by their values: a file of a million of them is one task to its reader."""
+    spark = df.sparkSession
+    # executors may still be registering; a task costs about an eighth of a second besides its rows
+    n = max(4 * spark.sparkContext.defaultParallelism, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(n, *df.columns)
+
+
 def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """fn(*values of a row) yields output rows as tuples; df holds just the columns that fn takes."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import markdown, odt, rules
 from ..operators import blocks, gates, packages
-from ..operators.kernel import flat_map
+from ..operators.kernel import flat_map, spread
 from . import catalog, fixtures
 from .catalog import query
 
@@ -431,7 +431,7 @@ def office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(key: int, name: str) -> Iterator[tuple]:
         yield (str(key), odt.package(xml.replace("@", rules.escaped(name)).encode()))
 
-    return flat_map(table(spark, sf_dir, "part").select("p_partkey", "p_name"), rows, "path string, content binary")
+    return flat_map(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), rows, "path string, content binary")
 
 
 _ROWS = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else text(x) for x in r) + ")" for r in READ)
