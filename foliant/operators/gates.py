@@ -69,7 +69,7 @@ def source(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 def drift(pairs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, drift_..., ok_bytes) of pairs (key, before, after): absolute differences, and whether after has at most 3/2 of the bytes."""
-    m = lines.measured(pairs, [key], before=F.col("before"), after=F.col("after"))
+    m = lines.measured(pairs, [key], DRIFTING, before=F.col("before"), after=F.col("after"))
     apart = [F.abs(F.col(f"before.{n}") - F.col(f"after.{n}")).alias(f"drift_{n}") for n in DRIFTING]
     return m.select(key, *apart, (F.col("after.bytes") * 2 <= F.col("before.bytes") * 3).alias("ok_bytes"))
 

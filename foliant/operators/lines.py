@@ -60,37 +60,39 @@ def _fold(xs: Column) -> Column:
     return F.aggregate(xs, F.struct(*(F.lit(0).alias(n) for n in [*COUNTED, "max_non_url_line", "fenced"])), step)
 
 
-def _neighbours(xs: Column) -> list[Column]:
+def _neighbours(xs: Column) -> dict[str, Column]:
     """Captions right between two table rows, separators right behind separators."""
     row = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| "))
     sep = lambda x: F.startswith(F.coalesce(x, F.lit("")), F.lit("| --- |"))
     count = lambda f: F.size(F.filter(F.transform(xs, f), lambda v: v)).cast("bigint")
-    return [
-        count(lambda x, i: H.caption(x) & row(F.get(xs, i - 1)) & row(F.get(xs, i + 1))).alias("caption_interleaves"),
-        count(lambda x, i: sep(x) & sep(F.get(xs, i - 1))).alias("consecutive_separators"),
-    ]
+    return {
+        "caption_interleaves": count(lambda x, i: H.caption(x) & row(F.get(xs, i - 1)) & row(F.get(xs, i + 1))),
+        "consecutive_separators": count(lambda x, i: sep(x) & sep(F.get(xs, i - 1))),
+    }
 
 
-def measured(df: DataFrame, keys: list[str], **texts: Column) -> DataFrame:
-    """The keys, and for each named text (null: empty) a struct of its structure counters, all in the row."""
+def measured(df: DataFrame, keys: list[str], only: tuple[str, ...] = (), **texts: Column) -> DataFrame:
+    """The keys, and for each named text (null: empty) a struct of its structure counters (or of some, counted one by one), all in the row."""
     t = {n: F.coalesce(c, F.lit("")) for n, c in texts.items()}
     split = df.select(*keys, *(F.struct(c.alias("t"), F.split(c, LF, -1).alias("xs")).alias(n) for n, c in t.items()))
-    folded = split.select(*keys, *(F.struct(f"{n}.t", f"{n}.xs", _fold(F.col(f"{n}.xs")).alias("m")).alias(n) for n in t))
+    few = lambda xs: F.struct(*(F.size(F.filter(xs, f)).alias(k) for k, f in COUNTED.items() if k in only), F.lit(0).alias("none"))
+    folded = split.select(*keys, *(F.struct(f"{n}.t", f"{n}.xs", (few if only else _fold)(F.col(f"{n}.xs")).alias("m")).alias(n) for n in t))
     big = lambda c: c.cast("bigint")
 
     def counters(n: str) -> Column:
         s = F.col(f"{n}.t")
         found = lambda p: big(F.regexp_count(s, F.lit(p)))
-        return F.struct(
-            big(F.octet_length(s)).alias("bytes"),
-            *(big(F.col(f"{n}.m.{k}")).alias(k) for k in [*COUNTED, "max_non_url_line"]),
-            found(r"\]\(").alias("links"),
-            found(r"\[note:").alias("notes"),
-            found(r"\[odt:unsupported ").alias("placeholders"),
-            (found(r"\[\^[0-9]+\]") - found(r"\[\^[0-9]+\]:")).alias("footnote_refs"),
-            big(H.raw_tags(s)).alias("raw_xml_like_tokens"),
-            *_neighbours(F.col(f"{n}.xs")),
-        )
+        all_ = {
+            "bytes": big(F.octet_length(s)),
+            **{k: big(F.col(f"{n}.m.{k}")) for k in [*COUNTED, "max_non_url_line"]},
+            "links": found(r"\]\("),
+            "notes": found(r"\[note:"),
+            "placeholders": found(r"\[odt:unsupported "),
+            "footnote_refs": found(r"\[\^[0-9]+\]") - found(r"\[\^[0-9]+\]:"),
+            "raw_xml_like_tokens": big(H.raw_tags(s)),
+            **_neighbours(F.col(f"{n}.xs")),
+        }
+        return F.struct(*(c.alias(k) for k, c in all_.items() if not only or k in only))
 
     return folded.select(*keys, *(counters(n).alias(n) for n in t))
 
@@ -102,7 +104,7 @@ def metrics(docs: DataFrame) -> DataFrame:
 
 def table_neighbours(docs: DataFrame) -> DataFrame:
     """(doc_id, caption_interleaves, consecutive_separators): captions between two table rows, separators behind separators."""
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), LF, -1).alias("xs")).select("doc_id", *_neighbours(F.col("xs")))
+    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), LF, -1).alias("xs")).select("doc_id", *(c.alias(n) for n, c in _neighbours(F.col("xs")).items()))
 
 
 def fenced(docs: DataFrame) -> DataFrame:
@@ -139,14 +141,28 @@ def list_runs(docs: DataFrame, most: int = 128) -> DataFrame:
     return got.select("doc_id", "first_line", (F.col("kind") == "ordered").alias("ordered"), "items", F.size(F.filter("indents", lambda i: i > F.col("base"))).cast("bigint").alias("nested"))
 
 
+def _rows(x: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of arrays of kept lines. An outer explode, since for another one Spark filters on the array's size before, which works it out twice."""
+    return x.select("doc_id", F.explode_outer("kept").alias("e")).where("e IS NOT NULL").select("doc_id", "e.line_no", "e.line")
+
+
+def _toc_capped(docs: DataFrame, most: int, *more: str) -> DataFrame:
+    """(doc_id, more, kept): the lines that toc_capped() keeps, as an array in the row; a link goes if the `most` lines before it are links too."""
+    each = F.transform(split_lines(F.col("text")), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"), H.toc_link(x).alias("toc")))
+    x = docs.select("doc_id", *more, F.filter(each, lambda e: e["line"] != "").alias("xs"))
+    run = lambda i: ~F.exists(F.slice("xs", F.greatest(i - most + 1, F.lit(1)), most), lambda e: ~e["toc"])
+    return x.select("doc_id", *more, F.filter("xs", lambda e, i: ~(e["toc"] & (i >= most) & run(i))).alias("kept"))
+
+
 def toc_capped(docs: DataFrame, most: int = 24) -> DataFrame:
     """(doc_id, line_no, line): non-blank lines without those of a run of contents links beyond so many."""
-    x = lines(docs).where("raw <> ''").select("doc_id", "line_no", F.col("raw").alias("line"))
-    order = W.partitionBy("doc_id").orderBy("line_no")
-    x = x.withColumn("toc", H.toc_link(F.col("line")))
-    x = x.withColumn("rest", F.sum(F.when(F.col("toc"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    x = x.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "rest", "toc").orderBy("line_no")))
-    return x.where(~F.col("toc") | (F.col("k") <= most)).select("doc_id", "line_no", "line")
+    return _rows(_toc_capped(docs, most))
+
+
+def toc_versions(docs: DataFrame, most: int = 24) -> DataFrame:
+    """(doc_id, before, after): each text with a non-blank line, and the lines that toc_capped() keeps of it."""
+    own = docs.where(F.col("text").rlike("[^\n]"))
+    return _toc_capped(own, most, "text").select("doc_id", F.col("text").alias("before"), F.array_join(F.transform("kept", lambda e: e["line"]), LF).alias("after"))
 
 
 def stages_once(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def md(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.view(spark, sf_dir, fixtures.MD_TOC)
+    return fixtures.view(spark, sf_dir, fixtures.MD_TOC, ("p_partkey", "p_name", "p_size", "p_type"))
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,10 +402,7 @@ SELECT o.doc_id, CAST(0 AS BIGINT) AS drift_headings, CAST(0 AS BIGINT) AS drift
 FROM o JOIN n USING (doc_id) JOIN a USING (doc_id)""", fixtures.MD_TOC))
 def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters before and after contents lists are capped, their absolute differences, and whether the size stays within 3/2."""
-    src = toc(spark, sf_dir)
-    left = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    after = lines.toc_capped(src).groupBy("doc_id").agg(F.array_join(F.transform(left, lambda x: x["line"]), "\n").alias("after"))
-    return gates.drift(src.select("doc_id", F.col("text").alias("before")).join(after, "doc_id"))
+    return gates.drift(lines.toc_versions(toc(spark, sf_dir)))
 
 
 @query(with_md(L + f""", n AS (SELECT doc_id, {CLASS} AS class, line, in_fence, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next_line FROM p)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.kernel import spread
+
 #: Structured documents around the whole text of each document.
 MD_DOCS = """
 SELECT doc_id,
@@ -77,8 +79,12 @@ FROM conversations
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the queries above; its table is read from sf_dir. The plan is analyzed at once, so the view's name may serve again."""
+def view(spark: SparkSession, sf_dir: str, sql: str, short: tuple[str, ...] = ()) -> DataFrame:
+    """Run one of the queries above; its table is read from sf_dir. The plan is analyzed at once, so the view's name may serve again.
+
+    short: the columns that it reads, where long texts are made of short rows; these are dealt to all cores before.
+    """
     head, rest = sql.rsplit("FROM ", 1)
-    spark.read.parquet(f"{sf_dir}/{rest.split()[0]}.parquet").createOrReplaceTempView("foliant_fixture")
+    read = spark.read.parquet(f"{sf_dir}/{rest.split()[0]}.parquet")
+    (spread(read.select(*short)) if short else read).createOrReplaceTempView("foliant_fixture")
     return spark.sql(head + "FROM foliant_fixture")

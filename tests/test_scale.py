@@ -3,12 +3,18 @@
 import pytest
 
 from foliant.functions import odt
+from foliant.operators import gates, lines
 from foliant.plans import catalog
 
 #: Queries that make much of each short row.
 DEALT = [
     "md_roundtrip",
+    "metric_drift",
 ]
+#: Queries that stay in the row behind that: what a plan of theirs must not have.
+IN_ROW = {
+    "metric_drift": ("Join", "Broadcast", "Window", "Aggregate"),
+}
 
 
 @pytest.mark.parametrize("name", DEALT)
@@ -27,3 +33,20 @@ def test_fixed_entries_are_packed_once(monkeypatch):
     assert odt.extract(odt.find(odt.entries(b), odt.STYLES)) == b"<own/>"
     odt.package(b"<a/>", template=odt.archive([odt.made("x.bin", b"x")]))
     assert b"x.bin" not in odt.extract(odt.find(odt.entries(odt.package(b"<a/>")), odt.MANIFEST))
+
+
+@pytest.mark.parametrize("name", IN_ROW)
+def test_plans_that_stay_in_the_row(spark, sf, name):
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not [x for x in IN_ROW[name] if x in plan]
+
+
+def test_versions_of_contents_lists(spark):
+    link = "[x](#__RefHeading1)"
+    rows = [(1, "\n".join([link] * 3 + ["", link, "t"] + [link] * 2) + "\n"), (2, None), (3, ""), (4, "\n\n"), (None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.after for r in lines.toc_versions(docs, 2).collect()}
+    assert got == {1: "\n".join([link] * 2 + ["t"] + [link] * 2), None: "a"}
+    assert sorted((r.doc_id, r.line_no) for r in lines.toc_capped(docs.where("doc_id = 1"), 2).collect()) == [(1, n) for n in (0, 1, 5, 6, 7)]
+    drift = {r.doc_id: r for r in gates.drift(lines.toc_versions(docs, 2)).collect()}
+    assert drift[1].drift_links == 2 and drift[None].drift_bytes == 0
