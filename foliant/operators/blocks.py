@@ -21,11 +21,11 @@ CELLS = "doc_id bigint, table_path array<int>, row_idx int, col_idx int, is_head
 STATUS = "doc_id bigint, status string, err_code string, err_field string, err_index int, output string, diagnostics array<struct<severity:string,code:string,stage:string,message:string>>"
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """One row per block of every Markdown document, parents before children; text is that of a block's own inlines."""
+def blocks(docs: DataFrame, top: bool = False) -> DataFrame:
+    """One row per block (or just top-level block) of every Markdown document, parents before children; text is that of a block's own inlines."""
 
     def rows(doc_id: int, text: str | None) -> Iterator[tuple]:
-        for *row, b in model.flat_blocks(markdown.parse(text or "")[0]):
+        for *row, b in model.flat_blocks(markdown.parse(text or "")[0], top):
             own = b.get("inlines", b.get("caption"))
             yield (doc_id, *row, None if own is None else markdown.raw_inline(own))
 

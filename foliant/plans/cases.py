@@ -267,11 +267,11 @@ caption @
        " v(ord, kind, level, ordered, style_id, code_language, code_text, admonition_kind, asset_id, src_line, text)")
 def md_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level blocks of a document that holds every construct."""
-    return blocks.blocks(sample(spark, sf_dir)).where("depth = 0").select("doc_id", "ord", "kind", "level", "ordered", "style_id", "code_language", "code_text", "admonition_kind", "asset_id", "src_line", "text")
+    return blocks.blocks(sample(spark, sf_dir), top=True).select("doc_id", "ord", "kind", "level", "ordered", "style_id", "code_language", "code_text", "admonition_kind", "asset_id", "src_line", "text")
 
 
 def sample(spark: SparkSession, sf_dir: str, body: str = SAMPLE) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.replace(F.lit(body), F.lit("@"), F.col("p_name")).alias("text"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("doc_id"), F.replace(F.lit(body), F.lit("@"), F.col("p_name")).alias("text"))
 
 
 @query("SELECT p_partkey AS doc_id, CAST(r AS INT) AS row_idx, CAST(c AS INT) AS col_idx, r = 0 AS is_header, replace(text, '@', p_name) AS text FROM part, (VALUES (0, 0, 'a'), (0, 1, 'b'), (1, 0, '@'), (1, 1, '<2>')) v(r, c, text)")

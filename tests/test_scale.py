@@ -3,13 +3,14 @@
 import pytest
 
 from foliant.functions import odt
-from foliant.operators import gates, lines
+from foliant.operators import blocks, gates, lines
 from foliant.plans import catalog
 
 #: Queries that make much of each short row.
 DEALT = [
     "md_roundtrip",
     "metric_drift",
+    "md_blocks",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
@@ -50,3 +51,8 @@ def test_versions_of_contents_lists(spark):
     assert sorted((r.doc_id, r.line_no) for r in lines.toc_capped(docs.where("doc_id = 1"), 2).collect()) == [(1, n) for n in (0, 1, 5, 6, 7)]
     drift = {r.doc_id: r for r in gates.drift(lines.toc_versions(docs, 2)).collect()}
     assert drift[1].drift_links == 2 and drift[None].drift_bytes == 0
+
+
+def test_top_level_blocks_alone(spark):
+    docs = spark.createDataFrame([(1, "# a\n- b\n- c\n> d\n| e |\n| - |\n| f |\n"), (2, None)], "doc_id bigint, text string")
+    assert blocks.blocks(docs, top=True).collect() == blocks.blocks(docs).where("depth = 0").collect()
