@@ -529,9 +529,9 @@ PRESENT = "profile: p\nversion: 1\nroles:\n  Answer:\nrecognize:\n  Answer:\n
 def present_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile's styles and page in styles.xml: one style added, one replaced, the page's margin; all entries in place."""
     made = packages.presented(office_packages(spark, sf_dir), rules.parse(PRESENT))
-    e = packages.entries(made.select("path", "content"), wanted=(odt.STYLES,))
-    own = F.max(F.when(F.col("name") == odt.STYLES, F.decode("payload", "utf-8"))).alias("xml")
-    each = e.groupBy("path").agg(own, F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "name"))), lambda x: x["name"]), ",").alias("names"))
+    e = packages.listed(made.select("path", "content"), wanted=(odt.STYLES,))
+    own = F.decode(F.get(F.filter("entries", lambda x: x["name"] == odt.STYLES), F.lit(0))["payload"], "utf-8").alias("xml")
+    each = e.select("path", own, F.array_join("entries.name", ",").alias("names"))
     style = lambda n: F.regexp_extract("xml", f'<style:style style:name="{n}".*?</style:style>', 0)
     found = F.size(F.regexp_extract_all("xml", F.lit('style:name="Quotations"'), F.lit(0)))
     return each.select("path", style("Answer").alias("added"), style("Quotations").alias("replaced"), found.alias("n_replaced"), F.regexp_extract("xml", "<style:page-layout-properties[^>]*>", 0).alias("page"), "names")

@@ -3,18 +3,20 @@
 import pytest
 
 from foliant.functions import odt
-from foliant.operators import blocks, gates, lines
-from foliant.plans import catalog
+from foliant.operators import blocks, gates, lines, packages
+from foliant.plans import cases, catalog
 
 #: Queries that make much of each short row.
 DEALT = [
     "md_roundtrip",
     "metric_drift",
     "md_blocks",
+    "present_styles",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
     "metric_drift": ("Join", "Broadcast", "Window", "Aggregate"),
+    "present_styles": ("Aggregate", "Window"),
 }
 
 
@@ -56,3 +58,11 @@ def test_versions_of_contents_lists(spark):
 def test_top_level_blocks_alone(spark):
     docs = spark.createDataFrame([(1, "# a\n- b\n- c\n> d\n| e |\n| - |\n| f |\n"), (2, None)], "doc_id bigint, text string")
     assert blocks.blocks(docs, top=True).collect() == blocks.blocks(docs).where("depth = 0").collect()
+
+
+def test_listing_has_the_entries_of_each_archive(spark, sf):
+    files = cases.faulty_packages(spark, sf).limit(40)
+    want: dict = {}
+    for r in packages.entries(files, wanted=("mimetype",)).collect():
+        want.setdefault(r.path, []).append((r.idx, r.name, r.payload))
+    assert {r.path: [tuple(e) for e in r.entries] for r in packages.listed(files, ("mimetype",)).collect()} == want
