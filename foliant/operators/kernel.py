@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Output rows of one batch.
+#: Output rows of one batch, and bytes of input that one is made of at most, but for a longer row.
 BATCH = 4096
+BYTES = 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -21,6 +24,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n, *df.columns)
 
 
+def give_back() -> None:
+    """Blocks of BYTES and more, such as whole input batches, go back to the system when freed; glibc by itself keeps as many as were ever held at once."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).mallopt(-3, BYTES)  # M_MMAP_THRESHOLD
+
+
+def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that become Python objects one at a time: of about BYTES / 4, one row at least."""
+    n = max(1, b.num_rows * (BYTES // 4) // max(1, b.nbytes))
+    for i in range(0, max(1, b.num_rows), n):
+        yield b.slice(i, n)
+
+
 def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """fn(*values of a row) yields output rows as tuples; df holds just the columns that fn takes."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -29,16 +45,24 @@ def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
+        give_back()
         out: list[tuple] = []
+        held = 0
         for b in batches:
-            for values in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for row in fn(*values):
-                    out.append(row)
-                    if len(out) >= BATCH:
-                        yield batch(out)
-                        out = []
+            for part in parts(b):
+                for values in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    for row in fn(*values):
+                        out.append(row)
+                        if len(out) >= BATCH:
+                            yield batch(out)
+                            out, held = [], 0
+                held += part.nbytes
+                if held >= BYTES and out:
+                    yield batch(out)
+                    out, held = [], 0
+            del b, part  # before the next one is read
         yield batch(out)
 
     return df.mapInArrow(run, struct)

@@ -409,7 +409,7 @@ def metric_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(count_if(NOT in_fence AND class = 'heading') AS BIGINT) AS headings, CAST(count_if(class = 'fence') // 2 + count_if(class = 'fence') % 2 AS BIGINT) AS codes, CAST(count_if(NOT in_fence AND class = 'quote') AS BIGINT) AS quotes FROM n GROUP BY doc_id"""))
 def md_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of the parser counted by kind, which the line plane must agree with."""
-    b = blocks.blocks(md(spark, sf_dir)).where("depth = 0")
+    b = blocks.blocks(md(spark, sf_dir), top=True)
     n = lambda k: F.count_if(F.col("kind") == k)
     return b.groupBy("doc_id").agg(n("heading").alias("headings"), n("code").alias("codes"), n("quote").alias("quotes"))
 

@@ -1,9 +1,10 @@
 """How the work of the engine's queries is dealt out and what it holds at once, on inputs that a reader takes as one task."""
 
+import pyarrow as pa
 import pytest
 
 from foliant.functions import odt
-from foliant.operators import blocks, gates, lines, packages
+from foliant.operators import blocks, gates, kernel, lines, packages
 from foliant.plans import cases, catalog
 
 #: Queries that make much of each short row.
@@ -66,3 +67,31 @@ def test_listing_has_the_entries_of_each_archive(spark, sf):
     for r in packages.entries(files, wanted=("mimetype",)).collect():
         want.setdefault(r.path, []).append((r.idx, r.name, r.payload))
     assert {r.path: [tuple(e) for e in r.entries] for r in packages.listed(files, ("mimetype",)).collect()} == want
+
+
+class Taken:
+    """Stands for a DataFrame and hands out what would run in the workers."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("wide", [0, 20_000, 3_000_000])
+def test_a_kernel_holds_few_rows_at_once(wide):
+    rows = 9000 if not wide else 60_000_000 // wide
+    b = pa.record_batch({"i": pa.array(range(rows), pa.int64()), "t": pa.array(["x" * wide] * rows)})
+    live, most = 0, 0
+
+    def fn(i, t):
+        nonlocal live, most
+        live += len(t)
+        most = max(most, live)
+        yield i, t
+
+    got = []
+    for out in kernel.flat_map(Taken(), fn, "i bigint, t string")(iter([b.slice(0, 0), b])):
+        got += out["i"].to_pylist()
+        assert out.nbytes <= 2 * kernel.BYTES + wide and out.num_rows <= kernel.BATCH
+        live = 0
+    assert got == list(range(rows)) and most <= 2 * kernel.BYTES + wide
+    assert list(kernel.flat_map(Taken(), fn, "i bigint, t string")(iter([])))[0].num_rows == 0
