@@ -429,8 +429,7 @@ def zip_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, true AS ok, coalesce(text, '') || chr(10) AS text FROM documents")
 def odt_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text to packages and back."""
-    made = packages.created(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return packages.texts(made.select(F.col("doc_id").cast("string").alias("path"), "content"))
+    return packages.texts_of_created(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 

@@ -95,3 +95,11 @@ def test_a_kernel_holds_few_rows_at_once(wide):
         live = 0
     assert got == list(range(rows)) and most <= 2 * kernel.BYTES + wide
     assert list(kernel.flat_map(Taken(), fn, "i bigint, t string")(iter([])))[0].num_rows == 0
+
+
+def test_text_to_packages_and_back_in_one_kernel(spark, sf):
+    docs = spark.createDataFrame([(1, "a\n b  <c>"), (2, None), (3, ""), (None, "\x01")], "doc_id bigint, text string")
+    made = packages.created(docs).selectExpr("CAST(doc_id AS STRING) AS path", "content")
+    key = lambda r: str(r.path)
+    assert sorted(packages.texts_of_created(docs).collect(), key=key) == sorted(packages.texts(made).collect(), key=key)
+    assert catalog.QUERIES["odt_extract_text"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
