@@ -97,8 +97,11 @@ def toc_link(line: Column) -> Column:
     return F.startswith(line, F.lit("[")) & F.contains(line, F.lit("](#__RefHeading"))
 
 
+STAGES = ("This stage:", "Previous stage:", "Latest stage:")
+
+
 def stage_label(line: Column) -> Column:
-    return line.isin("This stage:", "Previous stage:", "Latest stage:")
+    return line.isin(*STAGES)
 
 
 def stage_link(line: Column) -> Column:

@@ -6,6 +6,8 @@ corpus is never shuffled for it. Only operators that return lines explode them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,13 +169,14 @@ def toc_versions(docs: DataFrame, most: int = 24) -> DataFrame:
 
 def stages_once(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line): stage labels once a document, stage links not right behind an equal one among them."""
-    x = lines(docs).where("raw <> ''").select("doc_id", "line_no", F.col("raw").alias("line"))
-    label, link = H.stage_label(F.col("line")), H.stage_link(F.col("line"))
-    x = x.withColumn("kind", F.when(label, "label").when(link, "link").otherwise("text"))
-    first = F.row_number().over(W.partitionBy("doc_id", "kind", "line").orderBy("line_no"))
-    before = F.lag("line").over(W.partitionBy("doc_id", "kind").orderBy("line_no"))
-    x = x.withColumn("first", first).withColumn("before", before)
-    return x.where((F.col("kind") == "text") | ((F.col("kind") == "label") & (F.col("first") == 1)) | ((F.col("kind") == "link") & ~F.col("line").eqNullSafe(F.col("before")))).select("doc_id", "line_no", "line")
+    each = F.transform("ls", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    first = [F.array_position("ls", F.lit(x)).alias(f"p{k}") for k, x in enumerate(H.STAGES)]
+    x = docs.select("doc_id", split_lines(F.col("text")).alias("ls")).select("doc_id", F.filter(each, lambda e: e["line"] != "").alias("xs"), *first)
+    x = x.select("doc_id", "xs", *(f"p{k}" for k in range(len(H.STAGES))), F.filter("xs", lambda e: H.stage_link(e["line"])).alias("links"))
+    again = lambda e: reduce(lambda a, b: a | b, ((e["line"] == s) & (e["line_no"] + 1 > F.col(f"p{k}")) for k, s in enumerate(H.STAGES)))
+    others = F.filter("xs", lambda e: ~H.stage_link(e["line"]) & ~again(e))
+    apart = F.filter("links", lambda e, i: (i == 0) | (e["line"] != F.get("links", i - 1)["line"]))
+    return _rows(x.select("doc_id", F.concat(others, apart).alias("kept")))
 
 
 def captions_apart(docs: DataFrame) -> DataFrame:

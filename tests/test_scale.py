@@ -13,11 +13,13 @@ DEALT = [
     "metric_drift",
     "md_blocks",
     "present_styles",
+    "md_stage_dedup",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
     "metric_drift": ("Join", "Broadcast", "Window", "Aggregate"),
     "present_styles": ("Aggregate", "Window"),
+    "md_stage_dedup": ("Window", "Sort"),
 }
 
 
@@ -103,3 +105,12 @@ def test_text_to_packages_and_back_in_one_kernel(spark, sf):
     key = lambda r: str(r.path)
     assert sorted(packages.texts_of_created(docs).collect(), key=key) == sorted(packages.texts(made).collect(), key=key)
     assert catalog.QUERIES["odt_extract_text"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_stages_of_odd_documents(spark):
+    a, b = ("[%s](http://docs.oasis-open.org/office/OpenDocument/%s)" % (x, x) for x in "ab")
+    texts = {1: ["", "This stage:", a, "x", "This stage:", a, b, a, "Latest stage:", "", "Latest stage:", "x"], 2: [a], 3: ["", ""], None: ["This stage:", "This stage:"]}
+    docs = spark.createDataFrame([*((i, "\n".join(x)) for i, x in texts.items()), (4, None), (2, a)], "doc_id bigint, text string")
+    got = sorted(((str(r.doc_id), r.line_no, r.line) for r in lines.stages_once(docs).collect()))
+    kept = {1: (1, 2, 3, 6, 7, 8, 11), 2: (0, 0), None: (0,)}  # two documents of one id are two documents
+    assert got == sorted((str(i), n, texts[i][n]) for i, ns in kept.items() for n in ns)
