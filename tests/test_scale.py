@@ -14,12 +14,14 @@ DEALT = [
     "md_blocks",
     "present_styles",
     "md_stage_dedup",
+    "md_toc_cap",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
     "metric_drift": ("Join", "Broadcast", "Window", "Aggregate"),
     "present_styles": ("Aggregate", "Window"),
     "md_stage_dedup": ("Window", "Sort"),
+    "md_toc_cap": ("Window", "Sort"),
 }
 
 
