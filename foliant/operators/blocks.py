@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,19 @@ def cells(docs: DataFrame) -> DataFrame:
 
 #: Blocks of a stream that rules see.
 STREAM_MOST = 32_768
+#: Kinds of blocks that rules know, by their names in the model.
+STREAM_KINDS = {"heading": "heading", "paragraph": "paragraph", "list": "list", "table": "table", "quote": "blockquote", "code": "codeblock"}
 
 
 def stream(docs: DataFrame, most: int = STREAM_MOST) -> DataFrame:
     """The block stream: top-level blocks of the six kinds that rules know, numbered; those behind the first `most` have no role."""
-    kind = F.when(F.col("kind") == "quote", "blockquote").when(F.col("kind") == "code", "codeblock").otherwise(F.col("kind"))
-    known = blocks(docs).where("depth = 0 AND kind IN ('heading', 'paragraph', 'list', 'table', 'quote', 'code')")
-    own = F.array_sort(F.collect_list(F.struct("ord", kind.alias("kind"), "level", "text")))
-    return known.groupBy("doc_id").agg(own.alias("b")).select("doc_id", F.posexplode(F.slice("b", 1, most)).alias("stream_idx", "b")).select("doc_id", "stream_idx", "b.kind", "b.level", "b.text")
+
+    def rows(doc_id: int, text: str | None) -> Iterator[tuple]:
+        known = (b for b in markdown.parse(text or "")[0] if b["kind"] in STREAM_KINDS)
+        for i, b in enumerate(islice(known, most)):
+            yield (doc_id, i, STREAM_KINDS[b["kind"]], b.get("level"), markdown.raw_inline(b["inlines"]) if "inlines" in b else None)
+
+    return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, stream_idx int, kind string, level int, text string")
 
 
 def convert_one(source: str, target: str, payload: str | bytes, strict: bool, template: bytes | None = None, registry: Registry | None = None) -> tuple[str, model.Error | None, str | bytes | None, list]:

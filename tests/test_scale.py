@@ -15,6 +15,7 @@ DEALT = [
     "present_styles",
     "md_stage_dedup",
     "md_toc_cap",
+    "block_stream",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
@@ -22,6 +23,7 @@ IN_ROW = {
     "present_styles": ("Aggregate", "Window"),
     "md_stage_dedup": ("Window", "Sort"),
     "md_toc_cap": ("Window", "Sort"),
+    "block_stream": ("Aggregate", "Generate"),
 }
 
 
@@ -116,3 +118,9 @@ def test_stages_of_odd_documents(spark):
     got = sorted(((str(r.doc_id), r.line_no, r.line) for r in lines.stages_once(docs).collect()))
     kept = {1: (1, 2, 3, 6, 7, 8, 11), 2: (0, 0), None: (0,)}  # two documents of one id are two documents
     assert got == sorted((str(i), n, texts[i][n]) for i, ns in kept.items() for n in ns)
+
+
+def test_streams_of_documents_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "# a\n:::note\nx\n:::\n> b\n"), (1, "- c\n"), (2, None), (None, "d\n")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.stream_idx, r.kind, str(r.text)) for r in blocks.stream(docs).collect())
+    assert got == [("1", 0, "heading", "a"), ("1", 0, "list", "None"), ("1", 1, "blockquote", "None"), ("None", 0, "paragraph", "d")]
