@@ -16,6 +16,7 @@ DEALT = [
     "md_stage_dedup",
     "md_toc_cap",
     "block_stream",
+    "md_export",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
