@@ -17,6 +17,7 @@ DEALT = [
     "md_toc_cap",
     "block_stream",
     "md_export",
+    "odt_export",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
