@@ -18,6 +18,7 @@ DEALT = [
     "block_stream",
     "md_export",
     "odt_export",
+    "md_cells",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
