@@ -19,6 +19,7 @@ DEALT = [
     "md_export",
     "odt_export",
     "md_cells",
+    "md_rewrites",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
