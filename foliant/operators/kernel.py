@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,8 +38,28 @@ def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield b.slice(i, n)
 
 
-def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
+@dataclass(frozen=True)
+class Made:
+    """Rows that fn makes of those of df, for the next kernel to take in the same worker. As DataFrames, two kernels are two workers for each task, and batches between them."""
+
+    df: DataFrame
+    fn: Callable[..., Iterable[tuple]]
+    names: tuple[str, ...]
+
+    def select(self, *names: str) -> Made:
+        if names != self.names:
+            raise ValueError(f"made are {self.names}, not {names}")
+        return self
+
+    def then(self, fn: Callable[..., Iterable[tuple]], names: tuple[str, ...]) -> Made:
+        first = self.fn
+        return Made(self.df, lambda *values: (row for made in first(*values) for row in fn(*made)), names)
+
+
+def flat_map(df: DataFrame | Made, fn: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """fn(*values of a row) yields output rows as tuples; df holds just the columns that fn takes."""
+    if isinstance(df, Made):
+        df, fn = df.df, df.then(fn, ()).fn
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(struct)
 

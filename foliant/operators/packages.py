@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import markdown, model, odt, rules
 from . import blocks as B
-from .kernel import flat_map
+from .kernel import Made, flat_map
 
 #: What is wrong with a null.
 NOTHING = "no content"
@@ -31,7 +31,7 @@ def entries(files: DataFrame, wanted: tuple[str, ...] | None = None, payload: bo
     return flat_map(files.select("path", "content"), rows, ENTRIES)
 
 
-def listed(files: DataFrame, wanted: tuple[str, ...] = ()) -> DataFrame:
+def listed(files: DataFrame | Made, wanted: tuple[str, ...] = ()) -> DataFrame:
     """(path, entries): entries() of each archive as an array in one row, which nothing has to gather again; only the wanted names are unpacked."""
 
     def rows(path: str, content: bytes | None) -> Iterator[tuple]:
@@ -62,7 +62,7 @@ def package_rule(zip_entries: DataFrame) -> DataFrame:
     return zip_entries.groupBy("path").agg((F.bool_or(F.coalesce(first, F.lit(False))) & has(odt.CONTENT) & has(odt.MANIFEST)).alias("ok"))
 
 
-def round_trip(files: DataFrame) -> DataFrame:
+def round_trip(files: DataFrame | Made) -> DataFrame:
     """(path, status, before, after): each package as Markdown, and as Markdown again behind a package made of that.
 
     status is the first step's that isn't ok; the texts of later steps are null. Null content is `input`.
@@ -119,7 +119,7 @@ def exported(docs: DataFrame, template: bytes | None = None) -> DataFrame:
     return flat_map(docs.select(F.col("doc_id").cast("bigint"), "text"), rows, "doc_id bigint, status string, err_code string, content binary")
 
 
-def imported(files: DataFrame) -> DataFrame:
+def imported(files: DataFrame | Made) -> DataFrame:
     """(path, status, text): packages as Markdown."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
@@ -132,7 +132,7 @@ def imported(files: DataFrame) -> DataFrame:
     return flat_map(files.select("path", "content"), rows, "path string, status string, text string")
 
 
-def imported_blocks(files: DataFrame) -> DataFrame:
+def imported_blocks(files: DataFrame | Made) -> DataFrame:
     """(path, block_path, kind, level, text): blocks of packages."""
 
     def rows(path: str, content: bytes) -> Iterator[tuple]:
@@ -166,8 +166,13 @@ def template_merge(template: DataFrame, made: DataFrame) -> DataFrame:
     return template.join(made, ["path", "name"], "left_anti").unionByName(made)
 
 
-def presented(files: DataFrame, profile: rules.Profile) -> DataFrame:
+def presented(files: DataFrame | Made, profile: rules.Profile) -> DataFrame:
     """(path, content, error): packages with a profile's page and styles in styles.xml; unreadable ones have an error and no content."""
+    return flat_map(files.select("path", "content"), present_rows(profile), "path string, content binary, error string")
+
+
+def present_rows(profile: rules.Profile) -> Callable[..., Iterator[tuple]]:
+    """What presented() does with a package."""
     present = profile.present
 
     def rows(path: str, content: bytes | None) -> Iterator[tuple]:
@@ -179,7 +184,7 @@ def presented(files: DataFrame, profile: rules.Profile) -> DataFrame:
         except (odt.PackageError, UnicodeDecodeError) as x:
             yield (path, None, str(x))
 
-    return flat_map(files.select("path", "content"), rows, "path string, content binary, error string")
+    return rows
 
 
 def deflated(payload: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions import markdown, odt, rules
 from ..operators import blocks, gates, packages
-from ..operators.kernel import flat_map, spread
+from ..operators.kernel import Made, flat_map, spread
 from . import catalog, fixtures
 from .catalog import query
 
@@ -423,15 +423,15 @@ READ = [
 ]
 
 
-def office_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A package of hand-made content for each part."""
+def office_packages(spark: SparkSession, sf_dir: str) -> Made:
+    """A package of hand-made content for each part, as (path, content)."""
     spaces = "".join(f' xmlns:{k}="{v}"' for k, v in odt.NAMESPACES.items())
     xml = f'<office:document-content{spaces}><office:body><office:text>{OFFICE}</office:text></office:body></office:document-content>'
 
     def rows(key: int, name: str) -> Iterator[tuple]:
         yield (str(key), odt.package(xml.replace("@", rules.escaped(name)).encode()))
 
-    return flat_map(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), rows, "path string, content binary")
+    return Made(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")), rows, ("path", "content"))
 
 
 _ROWS = ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else text(x) for x in r) + ")" for r in READ)
@@ -528,8 +528,9 @@ PRESENT = "profile: p\nversion: 1\nroles:\n  Answer:\nrecognize:\n  Answer:\n
   '<style:style style:name="Quotations" style:family="paragraph"><style:text-properties fo:font-style="italic"/></style:style>' AS replaced, CAST(1 AS INT) AS n_replaced, '<style:page-layout-properties fo:margin-top="20mm"/>' AS page, 'mimetype,content.xml,styles.xml,meta.xml,META-INF/manifest.xml' AS names FROM part""")
 def present_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A profile's styles and page in styles.xml: one style added, one replaced, the page's margin; all entries in place."""
-    made = packages.presented(office_packages(spark, sf_dir), rules.parse(PRESENT))
-    e = packages.listed(made.select("path", "content"), wanted=(odt.STYLES,))
+    restyle = packages.present_rows(rules.parse(PRESENT))
+    made = office_packages(spark, sf_dir).then(lambda path, content: ((p, c) for p, c, _ in restyle(path, content)), ("path", "content"))
+    e = packages.listed(made, wanted=(odt.STYLES,))
     own = F.decode(F.get(F.filter("entries", lambda x: x["name"] == odt.STYLES), F.lit(0))["payload"], "utf-8").alias("xml")
     each = e.select("path", own, F.array_join("entries.name", ",").alias("names"))
     style = lambda n: F.regexp_extract("xml", f'<style:style style:name="{n}".*?</style:style>', 0)

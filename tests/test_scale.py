@@ -20,6 +20,7 @@ DEALT = [
     "odt_export",
     "md_cells",
     "md_rewrites",
+    "odt_import",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
@@ -86,6 +87,20 @@ class Taken:
         return run
 
 
+@pytest.mark.parametrize("name", ["md_roundtrip", "present_styles", "odt_import", "odt_blocks"])
+def test_packages_are_made_and_read_in_one_worker(spark, sf, name):
+    assert catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_kernels_in_one_worker_do_as_two(spark):
+    df = spark.range(5).selectExpr("id", "CAST(id AS STRING) AS s")
+    twice, tag = lambda i, s: [(i, s), (i, s + "!")][: i], lambda i, s: [(s, i)]
+    two = kernel.flat_map(kernel.flat_map(df, twice, "id bigint, s string"), tag, "s string, id bigint")
+    assert kernel.flat_map(kernel.Made(df, twice, ("id", "s")), tag, "s string, id bigint").collect() == two.collect()
+    with pytest.raises(ValueError):
+        kernel.Made(df, twice, ("id", "s")).select("s", "id")
+
+
 @pytest.mark.parametrize("wide", [0, 20_000, 3_000_000])
 def test_a_kernel_holds_few_rows_at_once(wide):
     rows = 9000 if not wide else 60_000_000 // wide
