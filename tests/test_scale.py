@@ -21,6 +21,7 @@ DEALT = [
     "md_cells",
     "md_rewrites",
     "odt_import",
+    "odt_blocks",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
