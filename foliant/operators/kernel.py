@@ -15,13 +15,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Output rows of one batch, and bytes of input that one is made of at most, but for a longer row.
 BATCH = 4096
 BYTES = 1 << 20
+#: Bytes of short rows, as they are stored, for a task of their own: about a thousand rows.
+SHORT = 8 << 10
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Short rows of which much is made, dealt to all cores by their values: a file of a million of them is one task to its reader."""
     spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
     # executors may still be registering; a task costs about an eighth of a second besides its rows
-    n = max(4 * spark.sparkContext.defaultParallelism, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    most = max(4 * cores, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    n = min(most, max(cores, int(size) // SHORT))
     return df.repartition(n, *df.columns)
 
 

@@ -79,7 +79,7 @@ def validate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % len(MODELS)
     pick = lambda i: F.coalesce(*(F.when(k == n, F.lit(m[i])) for n, m in enumerate(MODELS)))
     sound = F.repeat(F.lit(_P + ","), (F.col("o_orderkey") % 3).cast("int"))
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey"))
     return blocks.model_errors(o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("["), sound, pick(0), F.lit("]")).alias("blocks"), pick(1).alias("styles"), pick(2).alias("assets"), pick(3).alias("meta")))
 
 
@@ -126,7 +126,7 @@ def faulty_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(key: int) -> Iterator[tuple]:
         yield (str(key), faulty(PACKAGES[key % n][0]))
 
-    return flat_map(table(spark, sf_dir, "part").select("p_partkey"), rows, "path string, content binary")
+    return flat_map(spread(table(spark, sf_dir, "part").select("p_partkey")), rows, "path string, content binary")
 
 
 def _said(k: int) -> str:
@@ -168,7 +168,7 @@ STATUSES = [("input", 2, None), ("ok", 0, None), ("invalid", 5, "missing_field")
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, " + by_case("c_custkey % 6", [f"'{s}'" for s, _, _ in STATUSES]) + " AS status, CAST(" + by_case("c_custkey % 6", [str(c) for _, c, _ in STATUSES]) + " AS INT) AS code, " + by_case("c_custkey % 6", [f"'{n}'" if n else "NULL" for _, _, n in STATUSES]) + " AS last_note FROM customer")
 def convert_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of conversion: no input, sound, three faults of the model, and an empty document, which is a warning."""
-    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(by_case("c_custkey % 6", CONVERT)).alias("text"))
+    docs = spread(table(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), F.expr(by_case("c_custkey % 6", CONVERT)).alias("text"))
     return api.convert(docs, "md", "odt").select("id", "status", "code", F.get(F.col("diagnostics.code"), F.size("diagnostics") - 1).alias("last_note"))
 
 
@@ -202,7 +202,7 @@ t(doc_id, seq, rest, kind, body, target, style) AS (
 SELECT doc_id, seq, kind, body, target, style FROM t WHERE seq >= 0""")
 def md_inlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-level inlines of lines that hold every construct, closed and unclosed; the SQL scans them step by step."""
-    src = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderpriority").selectExpr("*")
+    src = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"))
     src.createOrReplaceTempView("foliant_orders")
     found = blocks.line_inlines(spark.sql(_inline_lines().replace("FROM orders", "FROM foliant_orders")))
     return found.select("doc_id", F.col("seq").cast("bigint").alias("seq"), "kind", "body", "target", "style")
@@ -375,7 +375,7 @@ def md_table_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long plain lines break at a blank; those with a URL, in a fence, of a list or without blanks stay."""
     made = "repeat('word ', 59) || p_brand || chr(10) || 'see http://x/ ' || repeat('word ', 60) || chr(10) || '```' || chr(10) || repeat('code ', 60) || chr(10) || '```' || chr(10) || repeat('x', 300) || chr(10) || '- ' || repeat('item ', 60)"
-    return blocks.wrapped(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(made).alias("text")))
+    return blocks.wrapped(spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand")).select(F.col("p_partkey").alias("doc_id"), F.expr(made).alias("text")))
 
 
 # packages: styles, letters, import and export
@@ -385,7 +385,7 @@ def style_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     def rows(key: int, brand: str, size: int) -> Iterator[tuple]:
         yield (key, rules.style_xml(brand, {"font-weight": "bold", "text-indent": "1mm", "margin-top": f"{size}mm", "based-on": "Standard"}))
 
-    return flat_map(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), rows, "p_partkey bigint, xml string")
+    return flat_map(spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")), rows, "p_partkey bigint, xml string")
 
 
 LETTERS = ["Dear @\n3 March 2026\nbody\n", "Ada\n3 March 2026\nDear @\n", "# @\nx\nDear @\n## end\n5 May 2025\n", "## @\nDear @\n", "a\n## An INTRODUCTION to @\nb\n", "**Dear** @\n### introduction\n## *Intro*duction\n"]
@@ -400,7 +400,7 @@ def letter_preamble(spark: SparkSession, sf_dir: str) -> DataFrame:
         yield (key, *odt.letter(got), odt.two_columns_from(got))
 
     made = F.replace(F.expr(by_case("p_partkey % 6", [text(x) for x in LETTERS])), F.lit("@"), F.col("p_name"))
-    return flat_map(table(spark, sf_dir, "part").select("p_partkey", made.alias("text")), rows, "doc_id bigint, salutation int, date_line int, columns_from int")
+    return flat_map(spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", made.alias("text")), rows, "doc_id bigint, salutation int, date_line int, columns_from int")
 
 
 OFFICE = (

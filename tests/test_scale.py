@@ -22,6 +22,14 @@ DEALT = [
     "md_rewrites",
     "odt_import",
     "odt_blocks",
+    "validate_model",
+    "validate_package",
+    "extract_status",
+    "convert_status",
+    "md_inlines",
+    "md_wrap",
+    "style_xml",
+    "letter_preamble",
 ]
 #: Queries that stay in the row behind that: what a plan of theirs must not have.
 IN_ROW = {
